@@ -24,7 +24,7 @@ SELECT DISTINCT doc_id, chunk_index, CAST(line_no AS INTEGER) AS line_no FROM ke
 
 _P5 = r"""
 WITH RECURSIVE s AS (
-  SELECT DISTINCT id, threadId, type, nullif(trim(parentId), '') AS parentId, output, CAST(createdAt AS TIMESTAMPTZ) AS at,
+  SELECT DISTINCT id, threadId, type, nullif(trim(parentId), '') AS parentId, output, CAST(createdAt AS TIMESTAMPTZ) AS ts,
     CASE WHEN regexp_matches(coalesce(output, ''), '[\p{L}\p{N}]') AND type = 'user_message' THEN 'user'
          WHEN regexp_matches(coalesce(output, ''), '[\p{L}\p{N}]') AND type = 'assistant_message' THEN 'assistant' END AS role
   FROM steps WHERE id IS NOT NULL AND threadId IN (SELECT id FROM threads)
@@ -38,11 +38,11 @@ WITH RECURSIVE s AS (
   SELECT u.threadId FROM s u WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM led l JOIN s a ON a.id = l.id WHERE l.threadId = u.threadId AND l.root = u.id AND a.role = 'assistant')
 ), kept AS (SELECT DISTINCT threadId FROM s WHERE role = 'user' AND threadId NOT IN (SELECT threadId FROM bad)),
 m AS (
-  SELECT threadId, id, role, at, id AS root, at AS root_at FROM s WHERE role = 'user' OR role = 'assistant' AND parentId IS NULL
+  SELECT threadId, id, role, ts, id AS root, ts AS root_ts FROM s WHERE role = 'user' OR role = 'assistant' AND parentId IS NULL
   UNION ALL
-  SELECT a.threadId, a.id, a.role, a.at, l.root, u.at FROM s a JOIN led l ON l.id = a.id JOIN s u ON u.id = l.root WHERE a.role = 'assistant' AND a.parentId IS NOT NULL
+  SELECT a.threadId, a.id, a.role, a.ts, l.root, u.ts FROM s a JOIN led l ON l.id = a.id JOIN s u ON u.id = l.root WHERE a.role = 'assistant' AND a.parentId IS NOT NULL
 )
-SELECT threadId, CAST(row_number() OVER (PARTITION BY threadId ORDER BY root_at, root, id <> root, at, id) - 1 AS INTEGER) AS position, id, role
+SELECT threadId, CAST(row_number() OVER (PARTITION BY threadId ORDER BY root_ts, root, id <> root, ts, id) - 1 AS INTEGER) AS position, id, role
 FROM m WHERE threadId IN (SELECT threadId FROM kept)
 """
 
