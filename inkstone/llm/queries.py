@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import conversations, packing, scan_repair, source_lines, split, tokens
+from inkstone.llm import conversations, packing, pairs, reading, scan_repair, source_lines, split, tokens
 from inkstone.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_chunks(table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "steps"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.found(table(spark, sf_dir, "steps"), table(spark, sf_dir, "threads"))
 
@@ -59,6 +63,10 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_packed(spark, sf_dir).groupBy("container").agg(F.count("*").alias("parts"), F.sum("size").alias("tokens"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "readinglabels"))
+
+
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_repaired, p3_found, p3_pieces, p5_found, p5_conversations, p6_found, p6_cleaned, p7_ids, p8_packed, p8_fill)
+    named = (p1_found, p1_repaired, p3_found, p3_pieces, p4_found, p5_found, p5_conversations, p6_found, p6_cleaned, p7_ids, p8_packed, p8_fill, p9_found)
     return {q.__name__: q for q in named}
