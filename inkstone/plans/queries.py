@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkstone.operators import units
 from inkstone.runtime import table
 
 
@@ -13,8 +14,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").count()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.harmonized(table(spark, sf_dir, "section_summaries"), table(spark, sf_dir, "common_units"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in (p2_found,)}
 
 
 def oracle_sql() -> dict[str, str]:
