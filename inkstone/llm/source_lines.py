@@ -5,11 +5,11 @@ each source the documents that hold a line are kept as bitmaps, one per written
 variant of the line; the variants' bitmaps are united by key, and the exact
 cardinality of the union is held against the source's number of documents.
 
-Most lines are unique, and a bitmap for each would be waste.  So a first pass
-counts occurrences under a 64-bit hash of the key.  A count of occurrences is
-never below the count of documents, hence no line that could pass is lost; the
-lines left (at most ``1 / share`` times the lines of a mean document, whatever
-the size of the corpus) get bitmaps and the exact test.
+Lines and keys are held as 64-bit hashes.  Most keys are unique, and a bitmap for
+each would be waste.  So a first pass counts occurrences.  A count of occurrences
+is never below the count of documents, hence no line that could pass is lost; the
+keys left (at most ``1 / share`` times the lines of a mean document, whatever the
+size of the corpus) get bitmaps and the exact test.
 """
 
 from __future__ import annotations
@@ -30,9 +30,15 @@ _GROUP_DOCS = 16_384
 _MAX_INLINE_SOURCES = 500
 
 
-def letters(line: Column) -> Column:
-    """Key of a line: letters only, lower case, usual width."""
-    return F.regexp_replace(F.lower(F.translate(line, _WIDE, _USUAL)), r"[^\p{L}]+", "")
+def letters(text: Column) -> Column:
+    """Keys of the lines of a text, line by line: letters only, lower case, usual width."""
+    usual = F.when(text.rlike("[\uFF21-\uFF3A\uFF41-\uFF5A]"), F.translate(text, _WIDE, _USUAL)).otherwise(text)
+    return F.regexp_replace(F.lower(usual), r"[^\p{L}\n]+", "")
+
+
+def line_hashes(text: Column) -> Column:
+    """Hashes of the keys of a text's lines in order; null for lines that are too short to count."""
+    return F.transform(F.split(letters(text), "\n"), lambda k: F.when(F.length(k) >= MIN_LETTERS, F.xxhash64(k)))
 
 
 def _file_key(name: Column) -> Column:
@@ -57,25 +63,25 @@ def source_of(doc_id: Column, issuers: DataFrame) -> Column:
     return out
 
 
-def explode_lines(chunks: DataFrame, issuers: DataFrame) -> DataFrame:
-    """(issuer, doc_id, chunk_index, line_no, line, h) of all lines that count, h the hash of the key."""
-    return (
-        chunks.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", "chunk_index", source_of(F.col("doc_id"), issuers).alias("issuer"), F.split("text", "\n").alias("_lines"))
-        .where("issuer is not null")
-        .select("issuer", "doc_id", "chunk_index", F.posexplode("_lines").alias("line_no", "line"))
-        .where(F.length("line") >= MIN_LETTERS)
-        .withColumn("key", letters(F.col("line")))
-        .where(F.length("key") >= MIN_LETTERS)
-        .withColumn("h", F.xxhash64("key"))
-    )
+def hashed_lines(chunks: DataFrame, issuers: DataFrame, *extra: Column) -> DataFrame:
+    """(issuer, doc_id, chunk_index, line_no, h, v, edge, *extra) of all lines that count, written once.
+
+    h and v are hashes of key and line, ``edge`` tells whether the line is among
+    the first or last two of its text; the issuer is null where there is none.
+    """
+    rows = chunks.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "chunk_index", source_of(F.col("doc_id"), issuers).alias("issuer"), *extra, "text")
+    pairs = F.arrays_zip(line_hashes(F.col("text")).alias("h"), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("v"))
+    others = [c for c in rows.columns if c not in ("doc_id", "chunk_index", "issuer", "text")]
+    lines = rows.select("issuer", "doc_id", "chunk_index", *others, pairs.alias("_pairs")).select("issuer", "doc_id", "chunk_index", *others, F.size("_pairs").alias("_n"), F.posexplode("_pairs").alias("line_no", "p"))
+    edge = (F.col("line_no") <= 1) | (F.col("line_no") >= F.col("_n") - 2)
+    return materialize(lines.where("p.h is not null").select("issuer", "doc_id", "chunk_index", "line_no", "p.h", "p.v", edge.alias("edge"), *others), "source-line-hashes")
 
 
-def repeated_lines(chunks: DataFrame, issuers: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(chunks: DataFrame, issuers: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, keys) of the lines repeated excessively within their source.
 
     ``lines`` has issuer, doc_id, chunk_index, line_no once per line to remove;
-    ``keys`` has issuer, key, h, n_docs, total_docs once per repeated line.
+    ``keys`` has issuer, h, n_docs, total_docs once per repeated key.
     A line is repeated if it stands in at least ``share`` of the source's documents
     and in at least ``min_docs``.  Null texts have no lines, documents without a
     source are left alone, repeated rows count once, a table without rows gives
@@ -86,31 +92,31 @@ def repeated_lines(chunks: DataFrame, issuers: DataFrame, share: float = SHARE,
         .select(source_of(F.col("doc_id"), issuers).alias("issuer"), "doc_id")
         .where("issuer is not null").groupBy("issuer").agg(F.count("*").alias("total_docs"))
     )
-    total = materialize(total, "source-sizes")
-    lines = explode_lines(chunks, issuers)
+    total = materialize(total, "source-sizes")  # one row per source
+    lines = (hashed_lines(chunks, issuers) if lines is None else lines).where("issuer is not null").select("issuer", "doc_id", "chunk_index", "line_no", "h", "v")
     enough = lambda n: (F.col(n) >= min_docs) & (F.col(n) >= F.col("total_docs") * F.lit(share))
     maybe = lines.groupBy("issuer", "h").agg(F.count("*").alias("n")).join(F.broadcast(total), "issuer").where(enough("n")).select("issuer", "h")
     maybe = materialize(maybe, "source-line-candidates")
     # At most 1/share times the mean number of lines of a document, for each source; the row count decides all the same.
     small = maybe.count() <= 200_000
-    hits = materialize(lines.join(F.broadcast(maybe) if small else maybe, ["issuer", "h"]).select("issuer", "doc_id", "chunk_index", "line_no", "line", "key", "h"), "source-line-hits")
+    hits = materialize(lines.join(F.broadcast(maybe) if small else maybe, ["issuer", "h"]), "source-line-hits")
 
     groups = 1 + int(total.agg(F.coalesce(F.sum("total_docs"), F.lit(0))).first()[0]) // _GROUP_DOCS
     numbered = _number(hits.select("doc_id").distinct().withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")))
     bit = F.col("num")
     per_variant = (
-        hits.select("issuer", "key", "h", "line", "doc_id").distinct().join(numbered, "doc_id")
-        .groupBy("issuer", "key", "h", "line", "g", F.bitmap_bucket_number(bit).alias("bucket"))
+        hits.select("issuer", "h", "v", "doc_id").distinct().join(numbered, "doc_id")
+        .groupBy("issuer", "h", "v", "g", F.bitmap_bucket_number(bit).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     )
-    per_key = per_variant.groupBy("issuer", "key", "h", "g", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    per_key = per_variant.groupBy("issuer", "h", "g", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
     keys = (
-        per_key.groupBy("issuer", "key", "h").agg(F.sum(F.bitmap_count("bits")).alias("n_docs"))
+        per_key.groupBy("issuer", "h").agg(F.sum(F.bitmap_count("bits")).alias("n_docs"))
         .join(F.broadcast(total), "issuer").where(enough("n_docs"))
     )
     keys = materialize(keys, "source-lines")
-    out = hits.join(F.broadcast(keys.select("issuer", "key")) if small else keys.select("issuer", "key"), ["issuer", "key"], "left_semi")
-    return out.select("issuer", "doc_id", "chunk_index", "line_no").distinct(), keys
+    gone = keys.select("issuer", "h")
+    return hits.join(F.broadcast(gone) if small else gone, ["issuer", "h"], "left_semi").select("issuer", "doc_id", "chunk_index", "line_no").distinct(), keys
 
 
 def _number(docs: DataFrame) -> DataFrame:
