@@ -53,7 +53,10 @@ class EmptyDocumentError(ParseError):
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length, content) of all files below a folder."""
+    """(path, modificationTime, length, content) of all files below a folder.
+
+    Spark's reader skips files without bytes; as rows, they count as corrupted.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
