@@ -182,6 +182,12 @@ def oracle_sql() -> dict[str, str]:
 WITH s AS (SELECT doc_id, string_agg('[' || section || ']' || chr(10) || array_to_string(list_transform(bullets, lambda b: '- ' || b), chr(10)), chr(10) || chr(10) ORDER BY section_no) AS t FROM {_SECS} WHERE section_no < 3 AND section IS NOT NULL AND bullets IS NOT NULL AND len(list_filter(bullets, lambda b: b IS NULL)) = 0 GROUP BY doc_id),
 c AS (SELECT doc_id, string_agg('[원문 ' || n || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY chunk_index) AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM {_CHUNKS} WHERE chunk_index < 3 AND text IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, '## 원문 발췌' || chr(10) || chr(10) || c.t || chr(10) || chr(10) || '## 요약 섹션' || chr(10) || chr(10) || s.t AS context FROM s JOIN c USING (doc_id)"""
+    told = {
+        "en": "the of and to in is that with each this one", "fr": "le la les des et une du est dans sous par",
+        "de": "der die das und ein eine ist am im auf von", "es": "el los las y un del con que por bajo una",
+    }
+    votes = ", ".join(f"struct_pack(n := len(list_filter(w, lambda x: list_contains({v.split()!r}, x))), k := '{k}')" for k, v in told.items())
+    languages = f"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^가-힣]', '', 'g')) >= 2 THEN 'ko' WHEN best.n > 0 THEN best.k END AS language FROM (SELECT doc_id, text, list_reverse_sort([{votes}])[1] AS best FROM (SELECT doc_id, text, list_transform({_TERMS.format('text')}, lambda x: lower(x)) AS w FROM documents))"
     dims = ["is_image_based", "chunk_size", "chunk_overlap", "temperature", "type", "doc"]
     board = " UNION ALL ".join(f"SELECT {d!r} AS dimension, coalesce(CAST({d} AS VARCHAR), '기본값') AS value, count(*) AS n, {mean}, count(*) FILTER (faithfulness = 'Faithful') AS faithful, round(avg(completeness), 6) AS completeness FROM r {'WHERE type <> ' + repr('other') if d == 'type' else ''} GROUP BY {d}" for d in dims)
     windows = lambda width, slide: f"SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest(generate_series(time_bucket(INTERVAL '{slide} minutes', ts) - INTERVAL '{width - slide} minutes', time_bucket(INTERVAL '{slide} minutes', ts), INTERVAL '{slide} minutes')) AS start FROM events WHERE ts IS NOT NULL) GROUP BY start, event_type"
@@ -240,6 +246,8 @@ SELECT doc_id, string_agg(part, '' ORDER BY i) AS text FROM r WHERE rn = 1 GROUP
         "multi_doc_merge": f"SELECT qa_id, string_agg('=== ' || d.doc_id || ' ===' || chr(10) || d.text, chr(10) || chr(10) ORDER BY i) AS text, string_agg('[' || d.doc_id || ']' || chr(10) || d.overall, chr(10) || chr(10) ORDER BY i) AS overall, bool_or(d.is_image_based) AS is_image_based, count(*) AS n_docs FROM (SELECT qa_id, i, trim(a[i]) AS doc_id FROM (SELECT qa_id, string_split(doc, ',') AS a FROM {fx('merge_groups')}) q, UNNEST(range(1, len(a) + 1)) AS u(i)) g LEFT JOIN {fx('merge_docs')} d USING (doc_id) GROUP BY qa_id HAVING bool_and(coalesce(d.status = 'ok', false))",
         "chart_route": f"{_FIG} SELECT doc_id, section_no, CASE WHEN ok THEN k END AS kind, CAST(CASE WHEN ok AND k <> 'multiline' THEN len(v) END AS INTEGER) AS points, CAST(CASE WHEN ok AND k = 'multiline' THEN len(tr) END AS INTEGER) AS traces, CASE WHEN ok THEN CASE k WHEN 'waterfall' THEN 300 WHEN 'multiline' THEN 320 ELSE 260 END END AS height FROM f",
         "bar_colours": f"{_FIG} SELECT doc_id, section_no, array_to_string(list_transform(v, lambda x: CASE WHEN x >= 0 THEN '#4C78A8' ELSE '#E45756' END), ',') AS colours, len(list_filter(v, lambda x: x < 0)) > 0 AS zero_line FROM f WHERE ok AND k = 'bar'",
+        "waterfall_measures": f"{_FIG} SELECT doc_id, section_no, array_to_string(list_transform(c.labels[1:len(v)], lambda x, i: CASE WHEN i = len(v) AND ({' OR '.join(f'contains(lower(x), {w!r})' for w in ('합계', '순이익', 'net profit', 'net income', 'total', 'ebitda'))}) THEN 'total' ELSE 'relative' END), ',') AS measures, array_to_string(list_transform(v, lambda x: CAST(round(x, 6) AS VARCHAR)), ',') AS bars FROM f WHERE ok AND k = 'waterfall'",
+        "document_languages": languages,
         "chart_budget": f"{_FIG} SELECT doc_id, section_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS INTEGER) AS chart_no FROM f WHERE ok QUALIFY chart_no <= 2",
         "numbers_extract": f"SELECT doc_id, section_no, CAST(i - 1 AS INTEGER) AS pos, array_to_string({numbers('bullets[i]')}, '|') AS numbers FROM {_SECS}, UNNEST(range(1, len(bullets) + 1)) AS u(i) WHERE bullets[i] IS NOT NULL",
         "numerical_accuracy": f"SELECT id, CASE WHEN len(want) = 0 THEN 1.0 ELSE round(len(list_filter(want, lambda n: list_contains(have, n))) / len(want), 4) END AS accuracy, array_to_string(list_filter(want, lambda n: list_contains(have, n)), '|') AS matched FROM (SELECT id, {numbers('reference')} AS want, {numbers('prediction')} AS have FROM {_PAIRS} WHERE prediction IS NOT NULL AND reference IS NOT NULL)",
