@@ -5,16 +5,12 @@ from pathlib import Path
 from inkstone import runtime
 
 
-def test_materialize_in_the_named_folder_and_purge(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        df = runtime.materialize(spark.range(10).toDF("x"), "t")
-        assert df.count() == 10 and list(tmp_path.glob("inkstone-*/t-*"))
-        runtime.purge(spark)
-        assert not list(tmp_path.glob("inkstone-*/*"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_materialize_and_purge(spark):
+    df = runtime.materialize(spark.range(10).toDF("x"), "t")
+    folder = Path(runtime.shared_dir(spark)) / f"inkstone-{spark.sparkContext.applicationId}"
+    assert df.count() == 10 and list(folder.glob("t-*"))
+    runtime.purge(spark)
+    assert not folder.exists()
 
 
 def test_the_package_reaches_workers(spark):
