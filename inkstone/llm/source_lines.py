@@ -63,21 +63,22 @@ def source_of(doc_id: Column, issuers: DataFrame) -> Column:
     return out
 
 
-def hashed_lines(chunks: DataFrame, issuers: DataFrame, *extra: Column) -> DataFrame:
-    """(issuer, doc_id, chunk_index, line_no, h, v, edge, *extra) of all lines that count, written once.
+def hashed_lines(chunks: DataFrame, issuers: DataFrame) -> DataFrame:
+    """(issuer, doc_id, chunk_index, line_no, h, v) of all lines that count, written once.
 
-    h and v are hashes of key and line, ``edge`` tells whether the line is among
-    the first or last two of its text; the issuer is null where there is none.
+    h and v are hashes of key and line; the issuer is null where there is none.
     """
-    rows = chunks.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "chunk_index", source_of(F.col("doc_id"), issuers).alias("issuer"), *extra, "text")
+    rows = chunks.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "chunk_index", source_of(F.col("doc_id"), issuers).alias("issuer"), "text")
     pairs = F.arrays_zip(line_hashes(F.col("text")).alias("h"), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("v"))
-    others = [c for c in rows.columns if c not in ("doc_id", "chunk_index", "issuer", "text")]
-    lines = rows.select("issuer", "doc_id", "chunk_index", *others, pairs.alias("_pairs")).select("issuer", "doc_id", "chunk_index", *others, F.size("_pairs").alias("_n"), F.posexplode("_pairs").alias("line_no", "p"))
-    edge = (F.col("line_no") <= 1) | (F.col("line_no") >= F.col("_n") - 2)
-    return materialize(lines.where("p.h is not null").select("issuer", "doc_id", "chunk_index", "line_no", "p.h", "p.v", edge.alias("edge"), *others), "source-line-hashes")
+    lines = rows.select("issuer", "doc_id", "chunk_index", F.posexplode(pairs).alias("line_no", "p")).where("p.h is not null")
+    return materialize(lines.select("issuer", "doc_id", "chunk_index", "line_no", "p.h", "p.v"), "source-line-hashes")
 
 
-def repeated_lines(chunks: DataFrame, issuers: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _docs(chunks: DataFrame, issuers: DataFrame) -> DataFrame:
+    return chunks.where("doc_id is not null").select("doc_id").distinct().select(source_of(F.col("doc_id"), issuers).alias("issuer"), "doc_id")
+
+
+def repeated_lines(chunks: DataFrame, issuers: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS, lines: DataFrame | None = None, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, keys) of the lines repeated excessively within their source.
 
     ``lines`` has issuer, doc_id, chunk_index, line_no once per line to remove;
@@ -85,14 +86,11 @@ def repeated_lines(chunks: DataFrame, issuers: DataFrame, share: float = SHARE,
     A line is repeated if it stands in at least ``share`` of the source's documents
     and in at least ``min_docs``.  Null texts have no lines, documents without a
     source are left alone, repeated rows count once, a table without rows gives
-    no rows.  Extra columns of the input are ignored.
+    no rows.  Extra columns of the input are ignored.  Callers that have the
+    hashed lines and the documents (issuer, doc_id) already pass them.
     """
-    total = (
-        chunks.where("doc_id is not null").select("doc_id").distinct()
-        .select(source_of(F.col("doc_id"), issuers).alias("issuer"), "doc_id")
-        .where("issuer is not null").groupBy("issuer").agg(F.count("*").alias("total_docs"))
-    )
-    total = materialize(total, "source-sizes")  # one row per source
+    docs = _docs(chunks, issuers) if docs is None else docs
+    total = materialize(docs.where("issuer is not null").groupBy("issuer").agg(F.count("*").alias("total_docs")), "source-sizes")  # one row per source
     lines = (hashed_lines(chunks, issuers) if lines is None else lines).where("issuer is not null").select("issuer", "doc_id", "chunk_index", "line_no", "h", "v")
     enough = lambda n: (F.col(n) >= min_docs) & (F.col(n) >= F.col("total_docs") * F.lit(share))
     maybe = lines.groupBy("issuer", "h").agg(F.count("*").alias("n")).join(F.broadcast(total), "issuer").where(enough("n")).select("issuer", "h")
