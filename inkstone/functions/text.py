@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def replace_all(text: Column, old: str, new: Column) -> Column:
     """Replace a literal by a column's value."""
     return F.replace(text, F.lit(old), new)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import contains_any, is_blank, replace_all, strip, tokens
+from inkstone.functions.text import bound, contains_any, is_blank, replace_all, strip, tokens
 
 Provider = Callable[[Column], Column]
 
@@ -124,8 +124,12 @@ def follow_ups(reply: Column) -> Column:
 
 def fenced(reply: Column) -> Column:
     """A reply without the code fence around it."""
-    body = F.regexp_replace(F.try_element_at(F.split(strip(reply), "```", -1), F.lit(2)), "^json", "")
-    return F.when(F.startswith(strip(reply), F.lit("```")), strip(body)).otherwise(strip(reply))
+
+    def body(text: Column) -> Column:
+        inner = F.regexp_replace(F.try_element_at(F.split(text, "```", -1), F.lit(2)), "^json", "")
+        return F.when(F.startswith(text, F.lit("```")), strip(inner)).otherwise(text)
+
+    return bound(strip(reply), body)
 
 
 def section_summary(reply: Column) -> Column:
@@ -133,9 +137,12 @@ def section_summary(reply: Column) -> Column:
 
     A chart of type none is no chart.
     """
-    s = F.from_json(fenced(reply), SUMMARY)
-    spec = F.when(F.lower(F.coalesce(s["chart_spec"]["chart_type"], F.lit("none"))) != "none", s["chart_spec"])
-    return F.when(s["section"].isNotNull() & s["bullets"].isNotNull(), F.struct(s["section"].alias("section"), s["bullets"].alias("bullets"), F.coalesce(s["source"], F.lit("")).alias("source"), spec.alias("chart_spec")))
+
+    def checked(s: Column) -> Column:
+        spec = F.when(F.lower(F.coalesce(s["chart_spec"]["chart_type"], F.lit("none"))) != "none", s["chart_spec"])
+        return F.when(s["section"].isNotNull() & s["bullets"].isNotNull(), F.struct(s["section"].alias("section"), s["bullets"].alias("bullets"), F.coalesce(s["source"], F.lit("")).alias("source"), spec.alias("chart_spec")))
+
+    return bound(F.from_json(fenced(reply), SUMMARY), checked)
 
 
 def bullet_budget(chunks: Column) -> Column:
@@ -150,7 +157,7 @@ def first_sentences(prompt: Column) -> Column:
     """
     name, text = F.regexp_extract(prompt, r"(?s)^([^\n]*)\n", 1), F.regexp_extract(prompt, r"(?s)^[^\n]*\n(.*)$", 1)
     sentences = F.filter(F.transform(F.split(text, r"(?<=[.?!。])\s+|\n+"), strip), lambda x: x != "")
-    return F.when(F.size(sentences) > 0, F.to_json(F.struct(name.alias("section"), F.slice(sentences, 1, 2).alias("bullets"), name.alias("source"))))
+    return bound(sentences, lambda xs: F.when(F.size(xs) > 0, F.to_json(F.struct(name.alias("section"), F.slice(xs, 1, 2).alias("bullets"), name.alias("source")))))
 
 
 def summarise(chunks: DataFrame, mapper: Provider = first_sentences, reducer: Provider | None = None) -> DataFrame:
@@ -162,8 +169,10 @@ def summarise(chunks: DataFrame, mapper: Provider = first_sentences, reducer: Pr
     """
     given = chunks.withColumn("name", F.when(is_blank(F.col("section")), F.lit("(no section)")).otherwise(F.col("section")))
     counted = given.groupBy("doc_id").agg(F.count("*").alias("n"))
-    asked = given.where(~is_blank(F.col("text"))).withColumn("s", section_summary(mapper(F.concat("name", F.lit("\n"), strip(F.col("text"))))))
-    ordered = asked.where("s is not null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "s"))), lambda x: x["s"]).alias("sections"))
+    reply = section_summary(mapper(F.concat("name", F.lit("\n"), strip(F.col("text")))))
+    # exploded, for the test for null would work out the summary a second time
+    asked = given.where(~is_blank(F.col("text"))).select("doc_id", "chunk_index", F.explode(F.array_compact(F.array(reply))).alias("s"))
+    ordered = asked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "s"))), lambda x: x["s"]).alias("sections"))
     both = counted.join(ordered, "doc_id", "left")
     text = fix_tildes(F.array_join(F.transform("sections", lambda s: F.concat(F.lit("["), s["section"], F.lit("]\n"), F.array_join(F.transform(s["bullets"], lambda b: F.concat(F.lit("- "), b)), "\n"))), "\n"), "에서 ")
     firsts = F.array_join(F.slice(F.flatten(F.transform("sections", lambda s: s["bullets"])), F.lit(1), bullet_budget(F.col("n"))), "\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions.text import contains_any, is_blank, splitlines, strip
 from inkstone.operators.enrich import doc_year, metrics, section_type
+from inkstone.runtime import materialize
 
 SIZE, OVERLAP, LEAST = 700, 200, 50
 TABLE_SHARE = 0.5
@@ -87,6 +88,7 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int
     """
     sec = sections(docs).where(~is_skipped(F.col("title"), F.col("body")))
     sec = sec.withColumn("full", strip(F.concat_ws("\n\n", F.nullif("title", F.lit("")), "body"))).withColumn("table", is_table(F.col("body")))
+    sec = materialize(sec, "chunk-sections")  # read for tables and for text
     tables = sec.where("table").withColumn("key", table_key(F.col("full"))).withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("section_no"))).where("rn = 1")
     whole = tables.select("doc_id", "section_no", F.lit(0).alias("sub_no"), "title", F.col("full").alias("text"), F.lit("table").alias("chunk_type"))
     rest = sec.where("not table").withColumn("parts", F.when(F.length("full") <= size, F.array("full")).otherwise(split_recursive(F.col("full"), size, overlap)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import contains_any
+from inkstone.functions.text import bound, contains_any
 
 #: The words of each type of section, in the order in which the types are tried.
 SECTION_TYPES = {
@@ -24,8 +24,8 @@ YEAR = r"(?U)\b(20[1-3][0-9])년?\b"
 def doc_year(section: Column, text: Column) -> Column:
     """The year named most often in section and text, of equals the greatest; null if none is."""
     years = F.regexp_extract_all(F.concat_ws(" ", section, text), F.lit(YEAR), F.lit(1))
-    counted = F.transform(F.array_distinct(years), lambda y: F.struct(F.size(F.filter(years, lambda z: z == y)).alias("n"), y.alias("y")))
-    return F.array_max(counted)["y"]
+    count = lambda ys: F.transform(F.array_distinct(ys), lambda y: F.struct(F.size(F.filter(ys, lambda z: z == y)).alias("n"), y.alias("y")))
+    return bound(years, lambda ys: F.array_max(count(ys))["y"])
 
 
 def section_type(section: Column, text: Column) -> Column:

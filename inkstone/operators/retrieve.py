@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import tokens
+from inkstone.runtime import materialize
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 TOP_SECTIONS, TOP_CHUNKS, TOP_RERANKED = 3, 5, 3
@@ -44,7 +45,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = TOP_CHUNKS, least: floa
     terms of a query count repeatedly.  Scores below ``least`` are dropped, ties
     go to the lesser item.  Null texts match nothing.
     """
-    posts = postings(corpus)
+    posts = materialize(postings(corpus), "postings")  # read for the statistics and for the match
     asked = queries.where("text is not null").select("query", "scope", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "scope", "term").agg(F.count("*").alias("qn"))
     weight = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = asked.join(posts, ["scope", "term"]).join(statistics(posts), ["scope", "term"]).groupBy("query", "scope", "item").agg(F.sum(weight).alias("score"))
