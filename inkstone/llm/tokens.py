@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.runtime import fit_parallelism, staging
+from inkstone.runtime import fit_parallelism, materialize, staging
 
 TOKENIZERS = os.environ.get("INKSTONE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
@@ -186,7 +186,7 @@ def frequent_units(docs: DataFrame) -> list[str]:
     The count cuts at single spaces, which gives the frequent units of running text.
     """
     words = docs.where("text is not null").select(F.explode(F.split("text", " ")).alias("w")).where("w != '' and length(w) < 40")
-    counts = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "token-units")  # read for the sum and for the words
     top = counts.agg(F.sum("n")).first()[0] or 0
     kept = counts.where(F.col("n") >= max(LEAST, FREQUENT * top)).select("w").toPandas()["w"]
     return [u for w in kept if not re.search(r"\s", w) for u in (" " + w, w)]
