@@ -89,7 +89,8 @@ def fit_parallelism(df: DataFrame, least: int | None = None) -> DataFrame:
     """Split a scan that arrives in fewer partitions than the cluster has cores.
 
     One small file gives one scan task; work in Python behind it would then use
-    one core.  The move is by round robin, so no key can make it uneven.
+    one core.  The move is by round robin, so no key can make it uneven.  Only
+    for plain scans: behind a shuffle the question alone would run the shuffle.
     """
     want = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
