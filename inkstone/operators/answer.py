@@ -71,7 +71,7 @@ def context(chunks: Column, sections: Column, overall: Column, force_overall: Co
 
 def sources(answer: Column, sections: Column, chunks: Column) -> Column:
     """array<struct(section, snippet, full_chunk)>: each section name once, with the chunk at its place."""
-    named = F.transform(sections, lambda s, i: F.struct(strip(s["section"]).alias("section"), fix_tildes(best_bullet(answer, s["bullets"])).alias("snippet"), F.coalesce(F.try_element_at(chunks, (i + 1).cast("int")), F.lit("")).alias("full_chunk")))
+    named = F.transform(sections, lambda s, i: F.struct(strip(s["section"]).alias("section"), F.coalesce(fix_tildes(best_bullet(answer, s["bullets"])), F.lit("")).alias("snippet"), F.coalesce(F.try_element_at(chunks, (i + 1).cast("int")), F.lit("")).alias("full_chunk")))
     names = F.transform(named, lambda x: x["section"])
     return F.filter(named, lambda x, i: F.array_position(names, x["section"]) == i + 1)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.text import is_blank, strip
 from inkstone.operators import answer, chart, chunk, clean, enrich, evaluate, metrics, retrieve, units
 from inkstone.plans import fixtures
-from inkstone.runtime import table
+from inkstone.runtime import materialize, table
 from inkstone.sources import files
 from inkstone.streaming import events as streams
 
@@ -360,29 +360,72 @@ def best_bullet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "section_no", answer.best_bullet(F.col("chart_spec.title"), F.col("bullets")).alias("bullet"))
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document the first three sections and chunks."""
+def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the first three sections and chunks, as the SQL of ``context_build`` has them."""
     secs = _sections(spark, sf_dir).where("section_no < 3 and section is not null and bullets is not null and not exists(bullets, b -> b is null)")
     secs = secs.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section_no", F.struct("section", "bullets").alias("s")))), lambda x: x["s"]).alias("sections"))
     texts = _chunks(spark, sf_dir).where("chunk_index < 3 and text is not null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]).alias("chunks"))
     return secs.join(texts, "doc_id")
 
 
+def _questions(sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query, scope, text): every document asked by its first section's name, without summaries by its first chunk's."""
+    named = [
+        rows.where(~is_blank(F.col("section"))).select("doc_id", F.struct(F.lit(i).alias("side"), F.col(no).alias("no"), "section").alias("r"))
+        for i, (rows, no) in enumerate(((sections, "section_no"), (chunks, "chunk_index")))
+    ]
+    first = named[0].unionByName(named[1]).groupBy("doc_id").agg(F.min("r").alias("r"))
+    return first.select(F.col("doc_id").alias("query"), F.col("doc_id").alias("scope"), F.col("r.section").alias("text"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, question, chunks, sections, overall): what each document's question finds in all of its chunks and sections, best first.
+
+    The tables have no vectors of chunks, and without a dense side the sparse
+    hits go to the reranker unfused.  A side that finds nothing is empty;
+    ``overall`` is the summary of the whole document.
+    """
+    rows = materialize(_chunks(spark, sf_dir), "chunks")  # read for questions, postings, hits and summaries
+    named = materialize(_sections(spark, sf_dir).select("doc_id", "section_no", "section", F.array_compact(F.coalesce("bullets", F.array().cast("array<string>"))).alias("bullets")), "sections")
+    asked = materialize(_questions(named, rows), "questions")
+    corpus = rows.select(F.col("doc_id").alias("scope"), F.col("chunk_index").alias("item"), "text")
+    hits = retrieve.bm25(corpus, asked).join(corpus, ["scope", "item"]).join(asked.select("query", F.col("text").alias("question")), "query")
+    best = retrieve.rerank(hits.select("query", "question", "text", "rank"))
+    chunks = best.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("chunks"))
+    secs = named.where("section is not null").select(F.col("doc_id").alias("scope"), F.col("section_no").alias("item"), F.struct("section", "bullets").alias("s"))
+    found = retrieve.bm25(secs.select("scope", "item", F.concat_ws(" ", "s.section", F.array_join("s.bullets", " ")).alias("text")), asked, retrieve.TOP_SECTIONS).join(secs, ["scope", "item"])
+    sections = found.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]).alias("sections"))
+    told = answer.summarise(rows).select(F.col("doc_id").alias("query"), "overall")
+    none = lambda kind: F.array().cast(kind)
+    return asked.join(chunks, "query", "left").join(sections, "query", "left").join(told, "query", "left").select(
+        F.col("query").alias("doc_id"), F.col("text").alias("question"), F.coalesce("chunks", none("array<string>")).alias("chunks"),
+        F.coalesce("sections", none("array<struct<section:string,bullets:array<string>>>")).alias("sections"), F.coalesce("overall", F.lit("")).alias("overall"),
+    )
+
+
 @query
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evidence(spark, sf_dir).select("doc_id", answer.context(F.col("chunks"), F.col("sections"), F.lit("")).alias("context"))
+    """Of the heads of documents, to be held against SQL; ``retrieved_context`` is of whole ones."""
+    return _heads(spark, sf_dir).select("doc_id", answer.context(F.col("chunks"), F.col("sections"), F.lit("")).alias("context"))
+
+
+@query
+def retrieved_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir).select("doc_id", answer.context(F.col("chunks"), F.col("sections"), F.col("overall")).alias("context"))
 
 
 @query
 def source_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evidence(spark, sf_dir).withColumn("s", F.explode(answer.sources(F.element_at("chunks", 1), F.col("sections"), F.col("chunks"))))
+    """The best chunk found stands in for the answer."""
+    said = F.coalesce(F.try_element_at("chunks", F.lit(1)), F.lit(""))
+    rows = _evidence(spark, sf_dir).withColumn("s", F.explode(answer.sources(said, F.col("sections"), F.col("chunks"))))
     return rows.select("doc_id", "s.section", "s.snippet", "s.full_chunk")
 
 
 @query
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document asked by its first section's name, answered by extraction."""
-    rows = _evidence(spark, sf_dir).select(F.col("doc_id").alias("query"), F.col("sections")[0]["section"].alias("question"), "chunks", "sections", F.lit("").alias("overall"))
+    """Every document asked its question, answered by extraction."""
+    rows = materialize(_evidence(spark, sf_dir).withColumnRenamed("doc_id", "query"), "evidence")  # read by each pass of ``ask``
     return answer.ask(rows).select("query", "answer", "is_answerable")
 
 
