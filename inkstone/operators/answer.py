@@ -33,7 +33,7 @@ def is_unanswerable(answer: Column) -> Column:
 
 def fix_tildes(text: Column, by: str = "-") -> Column:
     """Tildes between numbers replaced."""
-    return F.regexp_replace(text, r"(\d+\.?\d*)~+(\d+\.?\d*)", f"$1{by}$2")
+    return F.regexp_replace(text, r"(\p{Nd}+\.?\p{Nd}*)~+(\p{Nd}+\.?\p{Nd}*)", f"$1{by}$2")
 
 
 def without_ocr_noise(text: Column) -> Column:

@@ -170,6 +170,14 @@ def br_table_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.table_rows(_fixture(spark, "tables"))
 
 
+@query
+def br_table_dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the chunks, whose texts have tables; those with nothing to split or replace stay as they are."""
+    rows = _chunks(spark, sf_dir).select(F.struct("doc_id", "chunk_index").alias("doc_id"), "text")
+    split = F.coalesce(F.contains("text", F.lit("\n|")) | F.contains("text", F.lit("<br")), F.lit(False))
+    return clean.table_rows(rows.where(split)).unionByName(rows.where(~split)).select("doc_id.doc_id", "doc_id.chunk_index", "text")
+
+
 @query
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the chunks, whose texts have lines of page numbers."""
@@ -439,6 +447,12 @@ def tilde_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixture(spark, "tildes").select("id", answer.fix_tildes(F.col("text")).alias("text"), answer.without_ocr_noise(F.col("text")).alias("plain"))
 
 
+@query
+def tilde_fix_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the chunks, whose texts have ranges of numbers."""
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", answer.fix_tildes(F.col("text")).alias("text"), answer.without_ocr_noise(F.col("text")).alias("plain"))
+
+
 @query
 def summary_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fixture(spark, "replies").select("id", answer.section_summary(F.col("text")).alias("s"))
