@@ -163,7 +163,7 @@ def _anchors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "notation string, quantity string, factor double, offset double")
 
 
-def scale_graph(found: DataFrame, anchors: DataFrame, rounds: int = 4, tolerance: float = 0.05, least: int = 3) -> DataFrame:
+def scale_graph(found: DataFrame, anchors: DataFrame, tolerance: float = 0.05, least: int = 3) -> DataFrame:
     """(notation, quantity, factor, offset): the anchors, and every notation linked to them.
 
     ``found`` has entity, number, notation.  A notation is resolved if at least
@@ -177,7 +177,7 @@ def scale_graph(found: DataFrame, anchors: DataFrame, rounds: int = 4, tolerance
         return known
     sizes = materialize(sizes, "unit-sizes")
     steps = {q: sorted({f for q2, f in conversions().values() if q2 == q}) for q in {q for q, _ in conversions().values()}}
-    for _ in range(rounds):
+    while True:  # every round resolves at least one notation, or is the last
         reference = sizes.join(F.broadcast(known), "notation").groupBy("entity", "quantity").agg(F.percentile_approx(F.log10(F.col("size") * F.col("factor") + F.col("offset")), 0.5).alias("log"))
         unknown = sizes.join(F.broadcast(known), "notation", "left_anti")
         link = unknown.join(reference, "entity").select("notation", "quantity", "size", "log", (F.col("log") - F.log10("size")).alias("scale"))

@@ -52,3 +52,11 @@ def test_graph_resolves_linked_notations(spark):
     found = spark.createDataFrame(rows, "entity string, number double, notation string")
     got = {r.notation: (r.quantity, r.factor) for r in units.scale_graph(found, units._anchors(spark)).collect()}
     assert got["grands"] == ("krw", 1000.0) and got["mega"] == ("krw", 1e6) and "noise" not in got
+
+
+def test_graph_reaches_notations_many_links_away(spark):
+    chain = ["원", *(f"step{i}" for i in range(7))]
+    rows = [(f"{k}-{e}", 1000.0 * (e + 3), n) for k in range(7) for e in range(4) for n in chain[k:k + 2]]
+    found = spark.createDataFrame(rows, "entity string, number double, notation string")
+    got = {r.notation: (r.quantity, r.factor) for r in units.scale_graph(found, units._anchors(spark)).collect()}
+    assert all(got[n] == ("krw", 1.0) for n in chain)
