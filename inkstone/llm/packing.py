@@ -22,8 +22,8 @@ from inkstone.runtime import fit_parallelism, materialize
 CAPACITY = 4096
 #: A container is final once it is so full.
 NEARLY_FULL = 0.998
-#: Items for one task, and how many partitions merge into one from round to round.
-TASK_ITEMS, FAN_IN = 100_000, 8
+#: Items for one task, how many partitions merge into one from round to round, and the least number to begin with.
+TASK_ITEMS, FAN_IN, LEAST_PACKS = 100_000, 8, 8
 
 
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
@@ -95,7 +95,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", size:
     name = F.concat_ws("#", F.col(key).cast("string"), F.col("part").cast("string"))
     rest = parts.where(F.col("size") < capacity).select(name.alias("item"), "size")
     count = rest.count()
-    partitions = max(1, math.ceil(count / TASK_ITEMS))
+    partitions = max(LEAST_PACKS, math.ceil(count / TASK_ITEMS))
     placed = materialize(_round(rest.repartition(partitions, F.xxhash64("item")), capacity, 0), "pack-0")
     level, parents = 0, []
     while partitions > 1:

@@ -113,3 +113,9 @@ def test_packing_in_rounds(spark, monkeypatch):
         assert sum(x[2] for x in mine) == s and len(mine) == max(1, -(-s // 100)) and [x[1] for x in mine] == [100 * k for k in range(len(mine))]
     assert sum(fill.values()) / (100 * len(fill)) > 0.97
     assert packing.pack(df.where("false")).count() == 0
+
+
+def test_few_items_go_through_the_rounds_too(spark):
+    got = packing.pack(spark.createDataFrame([(i, 1 + i % 30) for i in range(200)], "doc_id long, n_tokens int"), 100).collect()
+    packs = {r.container for r in got}
+    assert len(got) == 200 and any(c.startswith("1-") for c in packs) and sum(r.size for r in got) / (100 * len(packs)) > 0.95
