@@ -1,5 +1,7 @@
 """The driver contract, and queries against their SQL on the smallest data."""
 
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -34,3 +36,8 @@ def test_query_agrees_with_sql(spark, name):
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_queries_survive_a_missing_library():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert 'clean_pdf' in q and 'p4_found' not in q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, check=True, timeout=120)
