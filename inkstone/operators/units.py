@@ -3,19 +3,17 @@
 Every mention of a quantity becomes a row with a number and a notation, the
 spelling of its unit.  A notation that the grammar of units can read is an
 anchor: its conversion is known.  For any other, the same entities are linked
-across sources: the logarithm of the ratio between an entity's size in anchored
-notations and its number in the unknown one is estimated by medians, first
-within the entity, then over entities; the scale is snapped to a known
-conversion, a remaining offset is estimated by the median of what is left, and
-notations resolved so become anchors of the next round, until nothing is won.
-Each entity is reduced to one row per notation before entities are compared, so
-no pairs of mentions are formed.
+across sources, the documents, by what is said around their numbers; quantiles
+over entities hold their sizes in a notation of a source against those in
+resolved ones, with each known conversion and a possible offset, and the best is
+taken.  Notations resolved so become anchors of the next round, until nothing is
+won.  Each entity is reduced to one row per source and notation before entities
+are compared, so no pairs of mentions are formed.
 """
 
 from __future__ import annotations
 
-import math
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +43,9 @@ def conversions() -> dict[str, tuple[str, float]]:
     return out
 
 
-_FROM = "０１２３４５６７８９，．（）－＋％＄￦−–‐△▲▼ 　"
-_TO = "0123456789,.()-+%$₩-----" + "-" + "  "
-_NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?"
+_FROM = "０１２３４５６７８９，．（）－＋％＄￦−–‐△▲▼ 　\x01"
+_TO = "0123456789,.()-+%$₩-----" + "-" + "   "
+_NUMBER = r"\d++(?:,\d{3})*+(?:\.\d++)?+"
 _SCALE_RE = "(?:천만|백만|십만|천억|백억|십억|조|억|만|천|백|십)"
 _BASE_RE = "(?:원|달러|불|명|인|주|톤)"
 #: Notations behind a number, longest first.
@@ -87,49 +85,61 @@ _TRILLIONS = rf"([-(]?)\s*({_NUMBER})\s*조\s*({_NUMBER})\s*(천)?억"
 _CURRENCY = rf"([-(]?)\s*(KRW|₩|USD|US\$|\$)\s*([-(]?)\s*({_NUMBER})\s*\)?\s*(trillion|trn|tn|billion|bln|bn|million|mln|mn|thousand|[mkbt](?![A-Za-z]))?"
 _PLAIN = rf"([-(]?)\s*({_NUMBER})\s*\)?\s*({_SUFFIX})(?![A-Za-z])"
 _ODD = rf"([-(]?)\s*({_NUMBER})\s*\)?\s*([^\s\d,.()\-]+)"
+#: What is before a quantity, its parts in all notations, and what is behind it, as fields between marks.
+_MARK = "\x01"
+_FIELDS = rf"(?s)^(.*?)(?:{_YEARS}|{_TRILLIONS}|{_CURRENCY}|{_PLAIN})(.*)$"
+_ODD_FIELDS = rf"(?s)^(.*?){_ODD}(.*)$"
+#: Notation of numbers whose unit is stated nowhere; what it means is a matter of each source.
+UNSTATED = "?"
+#: Words in which a report says that it gives a figure, and endings of nouns, none of them part of what is measured.
+_SAYING = ("기록", "집계됨", "집계", "수준", "변동", "약", "업체", "대비", "우위", "중", "추이", "위", "reported", "recorded", "was", "were", "of", "the", "at", "about", "around", "in", "to")
+_ENDING = "(?<=[가-힣]{2})(?:으로|에서|은|는|이|가|을|를|의|로|도)$"
+
 
+def fields(text: Column) -> Column:
+    """The parts of the first quantity in a text, by one pattern of all notations; a text without one stays in one piece."""
+    marks = lambda n: _MARK.join(f"${i}" for i in range(1, n + 1))
+    usual = F.regexp_replace(text, _FIELDS, marks(17))
+    return F.split(F.when(F.contains(usual, F.lit(_MARK)), usual).otherwise(F.regexp_replace(text, _ODD_FIELDS, marks(5))), _MARK, -1)
 
-def measured(text: Column) -> Column:
-    """struct(number, notation) of the quantity in a text with its unit, or null; ``text`` as given by ``plain``.
+
+def measured(p: Column) -> Column:
+    """struct(number, notation, about) of the quantity among ``fields``, or null; about is the text around it.
 
     Years with months and trillions with hundreds of millions become one number.
-    Of several quantities, which a text should not have, the first kind in the
-    order of patterns counts.
+    Of several quantities, which a text should not have, the first counts.
     """
 
-    def negative(*signs: Column) -> Column:
-        return F.greatest(*(F.when(s == "", 0).otherwise(1) for s in signs), F.lit(0))
-
-    def value(sign: Column, number: Column, unit: Column) -> Column:
-        return F.struct(F.when(sign == 1, -number).otherwise(number).cast("decimal(26,6)").alias("number"), unit.alias("notation"))
-
-    g = lambda pattern, k: _part(text, pattern, k)
-    years = value(negative(g(_YEARS, 1)), _decimal(g(_YEARS, 2)) * 12 + _decimal(g(_YEARS, 3)), F.lit("개월"))
-    trillions = value(negative(g(_TRILLIONS, 1)), _decimal(g(_TRILLIONS, 2)) * 10_000 + _decimal(g(_TRILLIONS, 3)) * F.when(g(_TRILLIONS, 4) == "", 1).otherwise(1000), F.lit("억원"))
-    money = value(negative(g(_CURRENCY, 1), g(_CURRENCY, 3)), _decimal(g(_CURRENCY, 4)), F.lower(F.concat(g(_CURRENCY, 2), g(_CURRENCY, 5))))
-    usual = value(negative(g(_PLAIN, 1)), _decimal(g(_PLAIN, 2)), F.lower(F.regexp_replace(g(_PLAIN, 3), r"\s", "")))
-    odd = value(negative(g(_ODD, 1)), _decimal(g(_ODD, 2)), F.lower(g(_ODD, 3)))
-    return (
-        F.when(text.rlike(_YEARS), years).when(text.rlike(_TRILLIONS), trillions).when(text.rlike(_CURRENCY), money)
-        .when(text.rlike(_PLAIN), usual).when(text.rlike(_ODD), odd)
-    )
+    def value(signs: list[Column], number: Column, unit: Column, last: int) -> Column:
+        minus = signs[0] != ""
+        for s in signs[1:]:
+            minus = minus | (s != "")
+        return F.struct(F.when(minus, -number).otherwise(number).cast("decimal(26,6)").alias("number"), unit.alias("notation"), F.concat(p[0], F.lit(" "), p[last]).alias("about"))
+
+    years = value([p[1]], _decimal(p[2]) * 12 + _decimal(p[3]), F.lit("개월"), 16)
+    trillions = value([p[4]], _decimal(p[5]) * 10_000 + _decimal(p[6]) * F.when(p[7] == "", 1).otherwise(1000), F.lit("억원"), 16)
+    money = value([p[8], p[10]], _decimal(p[11]), F.lower(F.concat(p[9], p[12])), 16)
+    usual = value([p[13]], _decimal(p[14]), F.lower(F.regexp_replace(p[15], r"\s", "")), 16)
+    odd = value([p[1]], _decimal(p[2]), F.lower(p[3]), 4)
+    return F.when(p.isNull(), F.lit(None)).when(F.size(p) == 5, odd).when(F.size(p) != 17, F.lit(None)).when(p[2] != "", years).when(p[5] != "", trillions).when(p[11] != "", money).otherwise(usual)
 
 
 def bare_number(text: Column) -> Column:
     """The number of a text that holds nothing else, brackets or a hyphen making it negative."""
-    pattern = rf"^([-(]?)\s*[+]?({_NUMBER})\s*\)?$"
-    n = _decimal(_part(text, pattern, 2))
-    return F.when(text.rlike(pattern), F.when(_part(text, pattern, 1) == "", n).otherwise(-n).cast("decimal(26,6)"))
+    parts = F.split(F.regexp_replace(text, rf"^([-(]?)\s*[+]?({_NUMBER})\s*\)?$", f"{_MARK}$1{_MARK}$2"), _MARK, -1)
+    return F.when(F.size(parts) == 3, F.when(parts[1] == "", _decimal(parts[2])).otherwise(-_decimal(parts[2])).cast("decimal(26,6)"))
 
 
 def mentions(sections: DataFrame) -> DataFrame:
-    """(doc_id, section_no, place, series_no, pos, entity, number, notation) of all mentions of quantities.
+    """(doc_id, section_no, place, series_no, pos, about, period, number, notation) of all mentions of quantities.
 
     A bullet's unit stands behind or before its number.  A chart's stands with
     the value, in the field ``unit``, in the title or with the name of the
-    series; the nearest to the value counts.  Repeated rows count once, of
-    differing ones the least.  Null lists, missing values and mentions without
-    any unit give no rows.
+    series; the nearest to the value counts, and a value without any has the
+    notation ``UNSTATED``.  ``about`` is the text around a quantity, of a chart
+    its title and series; ``period`` the label of the value or the text that may
+    name its period.  Repeated rows count once, of differing ones the least.
+    Null lists, missing values and bullets without any unit give no rows.
     """
     rows = (
         sections.where("doc_id is not null and section_no is not null").groupBy("doc_id", "section_no")
@@ -137,78 +147,111 @@ def mentions(sections: DataFrame) -> DataFrame:
     )
     keys = ["doc_id", "section_no"]
     bullets = rows.select(*keys, F.lit("bullets").alias("place"), F.lit(0).alias("series_no"), F.posexplode("bullets").alias("pos", "raw"))
-    bullets = bullets.withColumn("text", F.regexp_replace(plain(F.col("raw")), _NOT, " ")).where(F.col("text").rlike(r"\d"))
-    bullets = bullets.select(*keys, "place", "series_no", "pos", F.lit(None).cast("string").alias("unit"), F.regexp_replace("text", r"[\d.,\s()-]+", "").alias("entity"), "text")
+    bullets = bullets.withColumn("whole", plain(F.col("raw"))).withColumn("text", F.regexp_replace("whole", _NOT, " ")).where(F.col("text").rlike(r"\d"))
+    bullets = bullets.select(*keys, "place", "series_no", "pos", F.lit(None).cast("string").alias("unit"), F.lit("").alias("about"), F.col("whole").alias("period"), "text")
 
     spec = F.col("chart_spec")
     title_unit = F.coalesce(
         notation(F.nullif(_part(plain(spec["title"]), r"단위\s*:?\s*([^)\]]+?)\s*[)\]]?\s*$", 1), F.lit(""))),
         notation(F.nullif(_part(plain(spec["title"]), r"[(\[]\s*([^)\]]+?)\s*[)\]]\s*$", 1), F.lit(""))),
     )
-    charts = rows.where("chart_spec is not null").select(*keys, spec.alias("c"), F.coalesce(notation(spec["unit"]), title_unit).alias("unit"), F.regexp_replace(plain(spec["title"]), r"\s*추이.*$|\s*[(\[,].*$", "").alias("entity"))
-    flat = charts.select(*keys, F.lit("values").alias("place"), F.lit(0).alias("series_no"), F.posexplode("c.values").alias("pos", "raw"), "unit", "entity")
-    series = charts.select(*keys, "unit", "entity", F.posexplode("c.series").alias("series_no", "s"))
+    charts = rows.where("chart_spec is not null").select(*keys, spec.alias("c"), F.coalesce(notation(spec["unit"]), title_unit).alias("unit"), F.coalesce(F.regexp_replace(plain(spec["title"]), r"\s*추이.*$|\s*[(\[,].*$", ""), F.lit("")).alias("about"))
+    label = F.coalesce(F.try_element_at("c.labels", F.col("pos") + 1), F.lit(""))
+    flat = charts.select(*keys, F.lit("values").alias("place"), F.lit(0).alias("series_no"), F.posexplode("c.values").alias("pos", "raw"), "unit", "about", "c").withColumn("period", label).drop("c")
+    series = charts.select(*keys, "unit", "about", "c", F.posexplode("c.series").alias("series_no", "s"))
     name_unit = notation(F.nullif(_part(plain(F.col("s.name")), r"[(\[]\s*([^)\]]+?)\s*[)\]]\s*$", 1), F.lit("")))
-    nested = series.select(*keys, F.lit("series").alias("place"), "series_no", F.posexplode("s.values").alias("pos", "raw"), F.coalesce(name_unit, F.col("unit")).alias("unit"), F.concat_ws(" ", "entity", "s.name").alias("entity"))
+    nested = series.select(*keys, F.lit("series").alias("place"), "series_no", F.posexplode("s.values").alias("pos", "raw"), F.coalesce(name_unit, F.col("unit")).alias("unit"), F.concat_ws(" ", "about", "s.name").alias("about"), "c").withColumn("period", label).drop("c")
     values = flat.unionByName(nested).withColumn("text", plain(F.col("raw"))).where(F.col("text").rlike(r"\d") & ~F.lower("text").rlike(_MISSING)).drop("raw")
-    # written once: the patterns below would otherwise each repeat the steps above
-    texts = materialize(bullets.unionByName(values), "unit-texts")
-    alone = bare_number(F.col("text"))
-    found = texts.withColumn("m", F.when((F.col("place") != "bullets") & alone.isNotNull(), F.struct(alone.alias("number"), F.col("unit").alias("notation"))).otherwise(measured(F.col("text"))))
-    return found.where("m.number is not null and m.notation is not null").select(*keys, "place", "series_no", "pos", "entity", "m.number", "m.notation")
+    texts = bullets.unionByName(values).select("*", F.explode(F.array(F.when(F.col("place") != "bullets", bare_number(F.col("text"))))).alias("alone"))
+    # exploded, for a filter on the parts would otherwise work out all patterns again
+    parsed = texts.select("*", F.explode(F.array(F.when(F.col("alone").isNull(), fields(F.col("text"))))).alias("p")).select("*", F.explode(F.array(measured(F.col("p")))).alias("m"))
+    found = parsed.select(
+        *keys, "place", "series_no", "pos", F.concat_ws(" ", F.nullif("about", F.lit("")), F.when(F.col("place") == "bullets", F.col("m.about"))).alias("about"), "period",
+        F.coalesce("alone", "m.number").alias("number"), F.when(F.col("alone").isNotNull(), F.coalesce("unit", F.lit(UNSTATED))).otherwise(F.col("m.notation")).alias("notation"),
+    )
+    return found.where("number is not null and notation is not null")
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """(entity, source, notation, size): what each mention measures, and its number without sign.
+
+    An entity is the set of words around the quantity, without its notation and
+    the words that only report it, with the period; so the same thing in other
+    words, order or units is the same entity.  The source is the document.
+    """
+    words = F.transform(F.regexp_extract_all(F.lower("about"), F.lit("[가-힣]+|[a-z]+"), F.lit(0)), lambda w: F.regexp_replace(w, _ENDING, ""))
+    words = F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(*_SAYING))))
+    quarter = F.regexp_replace(F.col("period"), r"(?s)^.*?(?:(\d{4})\s*년\s*([1-4])\s*분기|([1-4])Q\s*(?:20)?(\d{2})(?!\d)).*$", "$1$4Q$2$3")
+    when = F.regexp_replace(F.when(quarter != F.col("period"), quarter).otherwise(F.regexp_extract("period", r"(?<!\d)(?:19|20)\d{2}(?!\d)", 0)), "^20(?=\\d\\d)", "")
+    return found.where("number <> 0").select(F.concat(F.array_join(words, " "), F.lit("|"), when).alias("entity"), F.col("doc_id").alias("source"), "notation", F.abs(F.col("number").cast("double")).alias("size")).where(F.length("entity") > 1)
 
 
 def _anchors(spark: SparkSession) -> DataFrame:
-    rows = [(n, q, float(f), 0.0) for n, (q, f) in conversions().items()]
-    return spark.createDataFrame(rows, "notation string, quantity string, factor double, offset double")
+    rows = [(n, q, float(f), 0.0, ANYWHERE) for n, (q, f) in conversions().items()]
+    return spark.createDataFrame(pa.table(dict(zip(("notation", "quantity", "factor", "offset", "scope"), zip(*rows, strict=True), strict=True))))  # part of the plan, no job
+
+
+#: Scope of a notation that means the same in all sources.
+ANYWHERE = "*"
+
+
+def resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (source, notation, ...) with what their notation means, in all sources or in their own."""
+    own = known.where(F.col("scope") != ANYWHERE).withColumnRenamed("scope", "source")
+    out = rows.join(known.where(F.col("scope") == ANYWHERE).drop("scope"), "notation")
+    return out if own.isEmpty() else out.unionByName(rows.join(own, ["notation", "source"]).select(*out.columns))
 
 
-def scale_graph(found: DataFrame, anchors: DataFrame, tolerance: float = 0.05, least: int = 3) -> DataFrame:
-    """(notation, quantity, factor, offset): the anchors, and every notation linked to them.
+def scale_graph(links: DataFrame, anchors: DataFrame, tolerance: float = 0.05, least: int = 3) -> DataFrame:
+    """(notation, quantity, factor, offset, scope): the anchors, and every notation of a source linked to them.
 
-    ``found`` has entity, number, notation.  A notation is resolved if at least
-    ``least`` entities link it to resolved ones of one quantity and the median
-    of the scales lies within ``tolerance`` decades of a known conversion.
+    ``links`` has entity, source, notation, size.  In each round the entities'
+    sizes in resolved notations, whatever their source, give a reference in the
+    common unit.  Every notation that is open is held against it with each known
+    conversion of the quantity: without an offset if three quarters of at least
+    ``least`` entities agree within ``tolerance`` decades, else with the median
+    of what is left as offset, if that varies by no more than ``tolerance`` of
+    the references themselves.  The best conversion wins, for all sources
+    together where they agree, else for each source.  What is resolved so is a
+    reference of the next round; a round that resolves nothing is the last.
     """
     known = anchors
-    sizes = found.where("number is not null and number <> 0 and entity is not null").groupBy("entity", "notation").agg(F.percentile_approx(F.abs(F.col("number").cast("double")), 0.5).alias("size"))
-    open_ = sizes.join(F.broadcast(known), "notation", "left_anti").select("notation").distinct()
-    if open_.isEmpty():
+    rows = links if "source" in links.columns else links.withColumn("source", F.lit(""))
+    rows = rows.where("size > 0 and entity is not null")
+    if rows.join(known, "notation", "left_anti").isEmpty():
         return known
-    sizes = materialize(sizes, "unit-sizes")
-    steps = {q: sorted({f for q2, f in conversions().values() if q2 == q}) for q in {q for q, _ in conversions().values()}}
-    while True:  # every round resolves at least one notation, or is the last
-        reference = sizes.join(F.broadcast(known), "notation").groupBy("entity", "quantity").agg(F.percentile_approx(F.log10(F.col("size") * F.col("factor") + F.col("offset")), 0.5).alias("log"))
-        unknown = sizes.join(F.broadcast(known), "notation", "left_anti")
-        link = unknown.join(reference, "entity").select("notation", "quantity", "size", "log", (F.col("log") - F.log10("size")).alias("scale"))
-        votes = link.groupBy("notation", "quantity").agg(F.percentile_approx("scale", 0.5).alias("scale"), F.count("*").alias("n")).where(F.col("n") >= least)
-        new = []
-        for r in votes.toPandas().sort_values("n", ascending=False).drop_duplicates("notation").itertuples():  # one row per notation
-            near = min(steps[r.quantity], key=lambda f, s=r.scale: abs(math.log10(f) - s))
-            if abs(math.log10(near) - r.scale) <= tolerance:
-                new.append((r.notation, r.quantity, float(near)))
-        if not new:
-            break
-        spark = found.sparkSession
-        resolved = spark.createDataFrame(new, "notation string, quantity string, factor double")
-        rest = link.join(F.broadcast(resolved), ["notation", "quantity"]).groupBy("notation", "quantity", "factor").agg(F.percentile_approx(F.pow(F.lit(10.0), "log") - F.col("size") * F.col("factor"), 0.5).alias("offset"), F.percentile_approx(F.pow(F.lit(10.0), "log"), 0.5).alias("typical"))
-        # an offset of a few per cent of the usual size is noise of the medians
-        known = known.unionByName(rest.select("notation", "quantity", "factor", F.when(F.abs("offset") > 0.1 * F.abs("typical"), F.col("offset")).otherwise(0.0).alias("offset")))
-        known = materialize(known, "unit-graph")
-    return known
-
-
-def harmonized(sections: DataFrame, common_units: DataFrame) -> DataFrame:
+    sizes = materialize(rows.groupBy("entity", "source", "notation").agg(F.percentile_approx("size", 0.5).alias("size")), "unit-sizes")
+    steps = anchors.select("quantity", F.col("factor").alias("step")).distinct()
+    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    while True:
+        sized = resolved(sizes, known).withColumn("amount", F.col("size") * F.col("factor") + F.col("offset"))
+        reference = sized.groupBy("entity", "quantity").agg(F.percentile_approx("amount", 0.5).alias("ref")).where("ref > 0")
+        open_ = sizes.join(known.where(F.col("scope") == ANYWHERE), "notation", "left_anti").join(known.select("notation", F.col("scope").alias("source")), ["notation", "source"], "left_anti")
+        link = open_.join(reference, "entity").join(steps, "quantity").withColumn("rest", F.col("ref") - F.col("size") * F.col("step"))
+        link = link.withColumn("scope", F.explode(F.when(F.col("notation") == UNSTATED, F.array("source")).otherwise(F.array(F.lit(ANYWHERE), "source"))))
+        fit = link.groupBy("scope", "notation", "quantity", "step").agg(
+            F.count("*").alias("n"), F.percentile_approx(F.abs(F.log10(F.col("ref") / (F.col("size") * F.col("step")))), 0.75).alias("off"), quartiles(F.col("rest")).alias("rest"), quartiles(F.col("ref")).alias("ref"),
+        ).where(F.col("n") >= least)
+        spread = (F.col("rest")[2] - F.col("rest")[0]) / F.nullif(F.col("ref")[2] - F.col("ref")[0], F.lit(0.0))
+        scored = fit.withColumn("score", F.when(F.col("off") <= tolerance, F.struct(F.lit(0).alias("kind"), F.col("off").alias("by"))).when(spread <= tolerance, F.struct(F.lit(1).alias("kind"), spread.alias("by"))))
+        best = scored.where("score is not null").groupBy("scope", "notation").agg(F.min(F.struct("score", (-F.col("n")).alias("n"), "quantity", "step", F.when(F.col("score.kind") == 1, F.col("rest")[1]).otherwise(0.0).alias("offset"))).alias("b"))
+        new = materialize(best.select("notation", "b.quantity", F.col("b.step").alias("factor"), "b.offset", "scope"), "unit-resolved")
+        if new.isEmpty():
+            return known
+        pooled = new.where(F.col("scope") == ANYWHERE)
+        known = known.unionByName(pooled).unionByName(new.where(F.col("scope") != ANYWHERE).join(pooled.select("notation"), "notation", "left_anti").select(*new.columns))
+
+
+def harmonized(sections: DataFrame, common_units: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """(doc_id, section_no, place, series_no, pos, quantity, amount) of all quantities in the common units.
 
     Only quantities named in ``common_units`` come out.  Amounts are rounded to
-    whole numbers; mentions in notations that neither the grammar nor the graph
-    of sources resolves are left out.
+    whole numbers; mentions in notations that neither the anchors, by default
+    the grammar's, nor the graph of sources resolves are left out.
     """
-    found = materialize(mentions(sections), "unit-mentions")
-    graph = scale_graph(found, _anchors(sections.sparkSession))
-    wanted = common_units.select("quantity").distinct()
+    anchors = _anchors(sections.sparkSession) if anchors is None else anchors
+    found = materialize(mentions(sections).withColumn("source", F.col("doc_id")), "unit-mentions")  # read for the graph and for the amounts
+    graph = anchors if found.join(anchors, "notation", "left_anti").isEmpty() else scale_graph(entities(found), anchors)
     exact = F.col("number") * F.col("factor").cast("decimal(17,3)") + F.col("offset").cast("decimal(17,3)")
-    # the graph has one row per notation, the common units one per quantity
-    out = found.join(F.broadcast(graph), "notation").join(F.broadcast(wanted), "quantity", "left_semi")
+    out = resolved(found, graph).join(common_units.select("quantity").distinct(), "quantity", "left_semi")
     return out.select("doc_id", "section_no", "place", "series_no", "pos", "quantity", F.round(exact).cast("bigint").alias("amount"))
