@@ -1,12 +1,14 @@
 """Texts above a size limit cut into pieces at natural boundaries.
 
-The cut is content-defined.  A rolling hash over the text marks landmarks; a
-piece ends at the natural boundary nearest to a landmark, of the best kind that
-is to be had between the least and the greatest size.  Landmarks depend on the
-letters around them alone, so after an edit the cuts soon fall where they fell
-before, and only neighbouring pieces change.  Every piece is a span of the
-text: the spans cover it, consecutive ones overlap, and taking the overlaps out
-gives the text back.
+The cut is content-defined.  A rolling hash over the text gives every place a
+value that depends on the letters before it alone.  The landmark of a stretch
+that is too long is the place of the least value in it, outside the least size
+at both ends; the stretch is cut at the natural boundary nearest to its
+landmark, of the best kind that it has, and both parts are treated alike.  Where
+a cut falls so depends on what stands around it and not on where the text
+begins, and an edit alters only the pieces next to it.  Every piece is a span of
+the text: the spans cover it, consecutive ones overlap, and taking the overlaps
+out gives the text back.
 """
 
 from __future__ import annotations
@@ -20,11 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.runtime import fit_parallelism
-
 LIMIT, OVERLAP, LEAST = 700, 200, 420
-#: Width of the rolling hash, and one landmark in so many places.
-WINDOW, SPACING = 16, 64
+#: Width of the rolling hash.
+WINDOW = 16
 _BLOCK = 4096
 
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
@@ -34,10 +34,11 @@ _SPACE = re.compile(r"\s+")
 _KINDS = (_PARAGRAPH, _LINE, _SENTENCE, _SPACE)
 
 
-def landmarks(text: str) -> np.ndarray:
-    """Positions whose preceding characters hash to a multiple of ``SPACING``."""
+def values(text: str) -> np.ndarray:
+    """A value for every place of a text, from a rolling hash of the characters before it; the greatest where there are too few."""
+    out = np.full(len(text) + 1, np.iinfo(np.uint64).max, np.uint64)
     if len(text) < WINDOW:
-        return np.zeros(0, np.int64)
+        return out
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     base, mult = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
     h = np.zeros(len(codes) - WINDOW + 1, np.uint64)
@@ -46,43 +47,50 @@ def landmarks(text: str) -> np.ndarray:
             h += (codes[k:k + len(h)] + np.uint64(1)) * base
             base *= mult
         h = (h ^ (h >> np.uint64(29))) * mult
-    return np.flatnonzero((h >> np.uint64(40)) % np.uint64(SPACING) == 0) + WINDOW
+    out[WINDOW:] = h >> np.uint64(8)
+    return out
+
+
+def cuts(text: str, greatest: int, least: int, first: int) -> list[int]:
+    """Places to cut a text so that no part is longer than ``greatest``, the first part than ``first``, and none shorter than ``least``."""
+    n = len(text)
+    kinds = [[m.end() for m in kind.finditer(text)] for kind in _KINDS]
+    h, out, open_ = values(text), [], [(0, n)]
+    while open_:
+        a, z = open_.pop()
+        if z - a <= (greatest if a else first):
+            continue
+        low, high = a + least, z - least
+        goal = low + int(np.argmin(h[low:high + 1]))
+        at = goal
+        for kind in kinds:
+            i, j = bisect_left(kind, low), bisect_right(kind, high)
+            if i < j:
+                k = bisect_left(kind, goal, i, j)
+                at = min(kind[max(i, k - 1):min(j, k + 1)], key=lambda p: (abs(p - goal), -p))
+                break
+        out.append(at)
+        open_ += [(a, at), (at, z)]
+    return sorted(out)
 
 
 def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int]]:
     """The spans of the pieces, in order; one span for a text within the limit.
 
     Kinds of boundary from best to worst: blank line, end of line, end of
-    sentence, white space; without any of them the cut is at the limit.  The
-    next piece begins at the boundary nearest to ``overlap`` before the cut that
-    is not farther from it; where there is none, exactly there.
+    sentence, white space; a stretch without any of them is cut at its landmark.
+    The next piece begins at the boundary nearest to ``overlap`` before the cut
+    that is not farther from it; where there is none, exactly there.
     """
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    kinds = [[m.end() for m in kind.finditer(text)] for kind in _KINDS]
-    every = sorted({p for kind in kinds for p in kind})
-    marks = landmarks(text).tolist()
-    out, start, done = [], 0, 0
-    while n - start > limit:
-        low, high = max(start + least, done + 1), start + limit
-        end = 0
-        for kind in kinds:
-            a, z = bisect_left(kind, low), bisect_right(kind, high)
-            if a < z:
-                i, j = bisect_left(marks, low), bisect_right(marks, high)
-                # the last landmark in reach, and the boundary nearest to it
-                goal = marks[j - 1] if i < j else high
-                end = min(kind[a:z], key=lambda p: (abs(p - goal), -p))
-                break
-        if not end:
-            z = bisect_right(every, high) - 1
-            end = every[z] if z >= 0 and every[z] > max(done, start + 1) else high
-        out.append((start, end))
+    ends = [*cuts(text, limit - overlap, least - overlap, limit), n]
+    every = sorted({m.end() for kind in _KINDS for m in kind.finditer(text)})
+    out = [(0, ends[0])]
+    for end, following in zip(ends, ends[1:]):
         k = bisect_left(every, end - overlap)
-        begin = every[k] if k < len(every) and every[k] < end else end - overlap
-        start, done = max(begin, start + 1), end
-    out.append((start, n))
+        out.append((every[k] if k < len(every) and every[k] < end else end - overlap, following))
     return out
 
 
@@ -93,8 +101,8 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, least:
     texts are one null piece; empty and short texts are one piece, unchanged.
     Rows without doc_id or chunk_index are left out.
     """
-    if not 0 <= overlap < least <= limit:
-        raise ValueError("0 <= overlap < least <= limit must hold")
+    if not 0 <= overlap < least or 2 * (least - overlap) > limit - overlap:
+        raise ValueError("0 <= overlap < least, and two least steps must fit between limit and overlap")
     rows = (
         chunks.where("doc_id is not null and chunk_index is not null")
         .groupBy("doc_id", "chunk_index").agg(F.min(F.struct("text", "section")).alias("r"))
@@ -143,5 +151,3 @@ def found(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_index) of the chunks that had to be cut."""
     return pieces(chunks).where("n_pieces > 1").select("doc_id", "chunk_index").distinct()
 
-
-__all__ = ["fit_parallelism", "found", "landmarks", "pieces", "renumbered", "spans", "split_chunks"]

@@ -30,11 +30,25 @@ def test_natural_boundaries_and_local_edits():
     assert all(text[z - 1].isspace() or text[z - 1] in ".\n" for _, z in cut[:-1])
     edited = text[:5000] + "An inserted sentence. " + text[5000:]
     pieces, again = [text[a:z] for a, z in cut], [edited[a:z] for a, z in split.spans(edited)]
-    assert len(set(pieces) - set(again)) <= 12
+    assert len(set(pieces) - set(again)) <= 3
     solid = split.spans("가" * 5000)
     assert all(z - b == split.OVERLAP for (_, z), (b, _) in zip(solid, solid[1:]))
 
 
+def test_edits_alter_only_neighbouring_pieces():
+    changed = []
+    for seed in range(200):
+        rng = random.Random(seed)
+        ends = [" ", "\n"] if seed % 2 else [" "]
+        text = "".join(" ".join(rng.choices(["revenue", "margin", "시장", "수요가", "grew", "of", "the", "전망이다"], k=rng.randrange(4, 14))) + "." + rng.choice(ends) for _ in range(500))
+        at = text.find(".", rng.randrange(len(text) - 200)) + 2
+        edited = text[:at] + "An inserted sentence. " + text[at:] if seed % 3 else text[:at] + text[text.find(".", at) + 2:]
+        old, new = [text[a:z] for a, z in split.spans(text)], {edited[a:z] for a, z in split.spans(edited)}
+        gone = [i for i, x in enumerate(old) if x not in new]
+        changed.append(gone[-1] - gone[0] + 1)  # all between the first and the last counts
+    assert sum(n <= 3 for n in changed) >= 196 and max(changed) <= 6
+
+
 def test_pieces(spark):
     rows = [("a", i, f"s{i}", ("말 " * 600 if i % 3 == 0 else "짧다")) for i in range(9)] + [("a", 0, "s0", "말 " * 600), ("b", 5, None, None), ("b", 7, "s", ""), (None, 1, "s", "x"), ("c", 9000, "s", "x" * 100_000)]
     df = spark.createDataFrame(rows, CHUNKS).withColumn("piece_no", F.lit("clash")).withColumn("start", F.lit("clash"))
