@@ -1,8 +1,8 @@
 """Defects of prompt and response pairs.
 
 A response that only repeats its prompt is found by compression: with the prompt
-as a zstandard dictionary it shrinks to almost nothing, and what is left over is
-then checked letter by letter.  The language of both sides comes from scripts
+as a zstandard dictionary it shrinks to almost nothing; the letters are compared
+only of those that do.  The language of both sides comes from scripts
 and dictionaries of function words, refusals from a dictionary of phrases.
 Whether a response breaks off is judged by its form (open brackets, fences and
 list items, half numbers) and, where it just ends in a word, by a model of
@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -24,13 +25,15 @@ from pyspark.sql import functions as F
 
 from inkstone.runtime import fit_parallelism, materialize
 
-#: A context is kept from this share of all responses on, and from this number on; that bounds the model.
+#: A context is kept from this share of all responses on, and from this number on.  That bounds the model by 3 contexts a word of a
+#: mean response / ``KEEP``: at most 150,000 times the words of a mean response, a few million entries; real text has far fewer.
 KEEP, LEAST = 2e-5, 4
 #: Share of sentence ends from which a context is terminal.
 TERMINAL = 0.5
-#: Most of a response's own compressed size that may be left with the prompt as dictionary.
-COPY_RATIO = 0.6
-COPY_REST = 5
+#: Bytes and share of a response that may be left with the prompt as dictionary, and one letter in so many that may differ.
+COPY_REST, COPY_SHARE, COPY_LETTERS = 18, 0.05, 16
+#: Letters of a label beside a copy, as "A:" or "답변:".
+COPY_LABEL = 5
 
 #: Function words of languages in Latin letters.
 FUNCTION_WORDS = {
@@ -97,22 +100,40 @@ def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
 
 
+_ALONE = zstandard.ZstdCompressionParameters.from_level(19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+_PAD = b"\0" * 8  # the least that zstandard takes for a dictionary
+
+
+def remainder(source: bytes, raw: bytes) -> int:
+    """Bytes that are left of ``raw`` with ``source`` as dictionary, beyond what a copy of the source leaves."""
+    packer = zstandard.ZstdCompressor(compression_params=_ALONE, dict_data=zstandard.ZstdCompressionDict(_PAD + source, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    return len(packer.compress(raw)) - len(packer.compress(source))
+
+
 def is_copy(prompt: str | None, output: str) -> bool:
-    """Whether a response is only its prompt again, up to case, width, spaces, signs and a short label."""
+    """Whether a response is only its prompt again, up to case, width, spaces, signs, a short label and single misspelt letters, once or more.
+
+    The response is compressed with the prompt as dictionary; if that leaves more
+    than ``COPY_REST`` bytes and ``COPY_SHARE`` of its own size, it is no copy.
+    What is left then is looked at letter by letter: digits may not differ, and
+    beside a label in front or behind one letter in ``COPY_LETTERS`` may.
+    """
     if not prompt:
         return False
     a, b = _plain(prompt), _plain(output)
-    rest = b.replace(a, "") if a and b else b
-    if not a or not b or len(b) < 0.9 * len(a) or (len(rest) > COPY_REST and len(b) > len(a)):
+    if not a or len(b) < 0.9 * len(a):
+        return False
+    source, raw = a.encode(), b.encode()
+    if remainder(source, raw) > COPY_REST + COPY_SHARE * min(len(raw), len(source)):
+        return False
+    times = max(1, round(len(b) / len(a)))  # the prompt may be given more than once
+    whole = a * times
+    if whole in b and len(b) <= len(whole) + COPY_LABEL or whole.startswith(b):
+        return True
+    if re.sub(r"\D", "", whole) != re.sub(r"\D", "", b):
         return False
-    raw, source = b.encode(), a.encode()
-    if len(source) >= 8:
-        alone = len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False).compress(raw))
-        given = zstandard.ZstdCompressionDict(source, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        left = len(zstandard.ZstdCompressor(level=3, dict_data=given, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
-        if left > COPY_RATIO * alone and left > 24:
-            return False
-    return len(rest) <= COPY_REST or a.startswith(b)
+    wrong = sum(max(i1 - i0, j1 - j0) for tag, i0, i1, j0, j1 in SequenceMatcher(None, whole, b, autojunk=False).get_opcodes() if tag != "equal")
+    return wrong <= len(a) // COPY_LETTERS
 
 
 def language(text: str) -> str | None:

@@ -54,6 +54,29 @@ def test_pair_defects(spark):
     assert pairs.defects(df.where("false")).count() == 0
 
 
+def test_copies_are_found_by_what_compression_leaves():
+    q = "What was the profit of the third quarter of 2023, and why did it fall?"
+    for copy in (q.replace("profit", "proflt"), "Q: " + q, q + "\n" + q, q.upper(), "질문: " + q, q[:-6]):
+        assert pairs.is_copy(q, copy), copy
+    for answer in (q.replace("2023", "2024"), "The profit of the third quarter of 2023 fell because of weak demand.", q + " It fell because of weak demand in the third quarter.", "x"):
+        assert not pairs.is_copy(q, answer), answer
+    assert pairs.is_copy("왜?", "왜") and not pairs.is_copy("몇?", "셋") and not pairs.is_copy("abc", "abd") and not pairs.is_copy("", "")
+    assert pairs.is_copy("2023년 매출액은 얼마인가요?", "2023년  매출액은 얼마인가요") and not pairs.is_copy("2023년 매출액은 얼마인가요?", "2023년 매출액은 12억원입니다.")
+    assert pairs.remainder(b"abcdefgh" * 9, b"abcdefgh" * 9) == 0 < pairs.remainder(b"abcdefgh" * 9, b"quite another text than this")
+
+
+def test_languages_of_pairs():
+    texts = {
+        "en": "The sales of the firm rose because of the strong demand in this quarter.", "fr": "Les ventes de la société sont plus fortes que dans une année avec du retard.", "de": "Der Umsatz ist in dem Quartal mit den Kunden auf eine neue Höhe gestiegen.",
+        "es": "Las ventas de la empresa son más altas que en el año con los clientes.", "ko": "수요가 늘어 매출이 증가하였다.", "ja": "売上高は前年同期比で増加しました。", "zh": "公司营业收入同比增长百分之十。",
+    }
+    for a, x in texts.items():
+        assert pairs.language(x) == a
+        for b, y in texts.items():
+            assert pairs.wrong_language(x, y) == (a != b), (a, b)
+    assert not pairs.wrong_language("Quelles sont les ventes de la société? Réponds en espagnol: in spanish", texts["es"]) and not pairs.wrong_language(texts["de"] + " auf deutsch in french", texts["fr"])
+
+
 def test_prose():
     text = "% no\n\\documentclass{a}\\newcommand{\\x}{bad words here}\n\\title{Bad title here}\\begin{document}\\maketitle\n\\section{Bad}\nThe first one, \\emph{really}~\\cite{a} $x=1$ is h\\'er\\'e.\n\\begin{comment}\nBad draft text.\n\\end{comment}\\iffalse bad text \\fi\n%% bad\nSecond one.\\footnote{bad note} \\[ bad math \\]\n\\begin{figure}bad\\caption{bad one}\\end{figure}\\end{document} bad tail"
     assert reading.prose(text) == [["the", "first", "one", "really", "is", "here"], ["second", "one"]]
