@@ -1,8 +1,8 @@
 """Conversations rebuilt from rows of messages.
 
-The rows are a log of events.  They are folded by id into steps: of several
-versions of a step the last written counts, and a later row without content (a
-deletion) blanks the message.  Every step is then led to its root by pointer
+The rows are a log of events: creations, edits, deletions and answers given
+anew.  They are folded by id into steps: the latest event counts, and one without
+content, a deletion, blanks the message.  Every step is then led to its root by pointer
 doubling, each round halving the way, so deep chains need few rounds and no task
 holds a whole thread.  Threads with a broken chain, without a question or with
 a question nobody answered are dropped as a whole; the messages of the others
@@ -19,8 +19,8 @@ from inkstone.runtime import materialize
 _ROUNDS = 40
 
 
-def instant(text: Column) -> Column:
-    """The instant of a time text in any of the notations of the log, in microseconds; null if it is none.
+def instant(text: Column, digits: int = 6) -> Column:
+    """The instant of a time text in any of the notations of the log, in microseconds or, with 9 digits, in nanoseconds; null if it is none.
 
     Dates and times are joined by T or a space, fractions have up to nine
     digits, zones are Z or an offset with or without colon; without a zone the
@@ -28,30 +28,52 @@ def instant(text: Column) -> Column:
     """
     t = F.trim(text)
     clock = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2})?)", 0)
-    fraction = F.rpad(F.regexp_extract(t, r"^[^.,]*[.,](\d{1,6})", 1), 6, "0")
+    fraction = F.rpad(F.regexp_extract(t, rf"^[^.,]*[.,](\d{{1,{digits}}})", 1), digits, "0")
     zone = F.regexp_extract(t, r"([+-])(\d{2}):?(\d{2})$", 0)
     sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
-    digits = F.regexp_replace(zone, r"[^0-9]", "")
-    offset = F.when(F.length(digits) == 4, sign * (F.substring(digits, 1, 2).cast("int") * 3600 + F.substring(digits, 3, 2).cast("int") * 60)).otherwise(0)
+    hours = F.regexp_replace(zone, r"[^0-9]", "")
+    offset = F.when(F.length(hours) == 4, sign * (F.substring(hours, 1, 2).cast("int") * 3600 + F.substring(hours, 3, 2).cast("int") * 60)).otherwise(0)
     clean = F.regexp_replace(clock, "T", " ")
     base = F.unix_seconds(F.coalesce(F.try_to_timestamp(F.concat(clean, F.lit("+0000")), F.lit("yyyy-MM-dd HH:mm:ssxx")), F.try_to_timestamp(F.concat(clean, F.lit("+0000")), F.lit("yyyy-MM-dd HH:mmxx"))))
-    return (base - offset) * 1_000_000 + F.when(fraction.rlike(r"^\d{6}$"), fraction.try_cast("bigint")).otherwise(0)
+    return (base - offset) * 10**digits + F.when(fraction.rlike(rf"^\d{{{digits}}}$"), fraction.try_cast("bigint")).otherwise(0)
 
 
-def fold(steps: DataFrame) -> DataFrame:
-    """(id, threadId, type, parentId, output, at): one row per step, its last version.
+def fold(steps: DataFrame, texts: bool = True) -> DataFrame:
+    """(id, threadId, type, parentId, wordy, at) and, with ``texts``, output: one row per step, its last version.
 
-    Versions of an id are ordered by end, then start of the event, then by
-    content, so that the choice doesn't depend on the order of rows.  A blank
-    parentId counts as none.  Rows without id or thread are left out.
+    The rows are events: the first of an id creates the step, a later one edits
+    it, answers it anew or, without content, deletes it.  An event is as late as
+    the latest of its times, for some have no end; ties go by content, so that
+    the choice doesn't depend on the order of rows.  ``wordy`` tells whether the
+    output has a letter or digit, ``at`` is the instant of creation in
+    nanoseconds.  A blank parentId counts as none.  Rows without id or thread
+    are left out.
     """
     rows = steps.where("id is not null and threadId is not null").select(
-        "id", "threadId", "type", F.when(F.trim("parentId") != "", F.col("parentId")).alias("parentId"), "output", "createdAt",
-        *(F.col(c) if c in steps.columns else F.lit(None).cast("string").alias(c) for c in ("start_at", "end_at")),
+        "id", "threadId", "type", F.when(F.trim("parentId") != "", F.col("parentId")).alias("parentId"), "output", F.coalesce(F.col("output").rlike(r"[\p{L}\p{N}]"), F.lit(False)).alias("wordy"),
+        instant(F.col("createdAt"), 9).alias("at"), *(instant(F.col(c), 9).alias(c) if c in steps.columns else F.lit(None).cast("bigint").alias(c) for c in ("start_at", "end_at")),
     )
-    version = F.struct(instant(F.col("end_at")).alias("e"), instant(F.col("start_at")).alias("s"), "createdAt", "threadId", "type", "parentId", "output")
-    last = rows.groupBy("id").agg(F.max(version).alias("v"))
-    return last.select("id", "v.threadId", "v.type", "v.parentId", "v.output", instant(F.col("v.createdAt")).alias("at"))
+    version = F.struct(F.greatest("end_at", "start_at", "at").alias("time"), "at", "threadId", "type", "parentId", "wordy", F.xxhash64("output").alias("h"), *(["output"] if texts else []))
+    return rows.groupBy("id").agg(F.max(version).alias("v")).select("id", "v.threadId", "v.type", "v.parentId", "v.wordy", "v.at", *(["v.output"] if texts else []))
+
+
+def _messages(steps: DataFrame, threads: DataFrame, texts: bool) -> tuple[DataFrame, DataFrame]:
+    """The ordered messages of all sound threads, and the folded steps that are in a thread."""
+    step = fold(steps, texts).join(threads.where("id is not null").select(F.col("id").alias("threadId")).distinct(), "threadId", "left_semi")
+    step = step.select(
+        "threadId", "id", "parentId", "at", *(["output"] if texts else []),
+        F.when((F.col("type") == "user_message") & F.col("wordy"), "user").when((F.col("type") == "assistant_message") & F.col("wordy"), "assistant").alias("role"),
+    )
+    step = materialize(step, "chat-steps")
+    led, unsound = _lead(step)
+    users = step.where("role = 'user'").select("threadId", F.col("id").alias("root"), F.col("at").alias("root_at"))
+    below = step.where("role = 'assistant' and parentId is not null").select("threadId", "id", "role", "at").join(led, ["threadId", "id"]).join(users, ["threadId", "root"])
+    below = materialize(below.select("threadId", "id", "role", "at", "root", "root_at"), "chat-answers")
+    unanswered = users.join(below.select("threadId", "root").distinct(), ["threadId", "root"], "left_anti").select("threadId")
+    sound = users.select("threadId").distinct().join(unsound.unionByName(unanswered).distinct(), "threadId", "left_anti")
+    heads = step.where("role = 'user' or role = 'assistant' and parentId is null").select("threadId", "id", "role", "at", F.col("id").alias("root"), F.col("at").alias("root_at"))
+    messages = heads.unionByName(below).join(sound, "threadId", "left_semi").withColumn("reply", (F.col("id") != F.col("root")).cast("int"))
+    return ordered(messages), step
 
 
 def conversations(steps: DataFrame, threads: DataFrame) -> DataFrame:
@@ -64,28 +86,11 @@ def conversations(steps: DataFrame, threads: DataFrame) -> DataFrame:
     Messages without parent stand in the order of their instants, each user
     message followed by the assistant messages below it in the order of theirs;
     ties go by id, messages without an instant come first.  Empty tables give no
-    rows; other columns are ignored.
+    rows; other columns are ignored.  ``at`` is in microseconds.  The texts are
+    put to the messages last.
     """
-    wordy = F.coalesce(F.col("output").rlike(r"[\p{L}\p{N}]"), F.lit(False))
-    step = fold(steps).join(threads.where("id is not null").select(F.col("id").alias("threadId")).distinct(), "threadId", "left_semi")
-    step = step.select(
-        "threadId", "id", "parentId", "at", "output",
-        F.when((F.col("type") == "user_message") & wordy, "user").when((F.col("type") == "assistant_message") & wordy, "assistant").alias("role"),
-    )
-    step = materialize(step, "chat-steps")
-
-    led, unsound = _lead(step)
-    users = step.where("role = 'user'").select("threadId", F.col("id").alias("root"), F.col("at").alias("root_at"))
-    below = (
-        step.where("role = 'assistant' and parentId is not null").select("threadId", "id", "role", "output", "at")
-        .join(led, ["threadId", "id"]).join(users, ["threadId", "root"])
-    )
-    below = materialize(below.select("threadId", "id", "role", "output", "at", "root", "root_at"), "chat-answers")
-    unanswered = users.join(below.select("threadId", "root").distinct(), ["threadId", "root"], "left_anti").select("threadId")
-    sound = users.select("threadId").distinct().join(unsound.unionByName(unanswered).distinct(), "threadId", "left_anti")
-    heads = step.where("role = 'user' or role = 'assistant' and parentId is null").select("threadId", "id", "role", "output", "at", F.col("id").alias("root"), F.col("at").alias("root_at"))
-    messages = heads.unionByName(below).join(sound, "threadId", "left_semi").withColumn("reply", (F.col("id") != F.col("root")).cast("int"))
-    return ordered(messages).select("threadId", "position", "id", "role", F.col("output").alias("text"), "at")
+    placed, step = _messages(steps, threads, True)
+    return placed.join(step.select("threadId", "id", F.col("output").alias("text")), ["threadId", "id"]).select("threadId", "position", "id", "role", "text", F.floor(F.col("at") / 1000).cast("bigint").alias("at"))
 
 
 def _lead(step: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,5 +139,5 @@ def ordered(messages: DataFrame) -> DataFrame:
 
 
 def found(steps: DataFrame, threads: DataFrame) -> DataFrame:
-    """(threadId, position, id, role) of the messages of all kept threads."""
-    return conversations(steps, threads).select("threadId", "position", "id", "role")
+    """(threadId, position, id, role) of the messages of all kept threads; the same without the texts, which then never leave the scan."""
+    return _messages(steps, threads, False)[0].select("threadId", "position", "id", "role")

@@ -38,6 +38,24 @@ def test_instants(spark):
     assert [None if r.m is None else r.m - base for r in rows] == list(cases.values())
 
 
+def test_events_of_one_step_are_folded(spark):
+    t = "2024-01-01T00:00:0{}Z".format
+    event = lambda i, kind, parent, out, created, start=None, end=None: (i, "t", kind, parent, out, created, None, start, end)
+    rows = [
+        event("u", "user_message", None, "first wording", t(0), t(0), t(0)), event("u", "user_message", None, "edited wording", t(0), t(3), t(3)),
+        event("a", "assistant_message", "u", "first try", t(1), t(1), t(2)), event("a", "assistant_message", "u", "second try", t(1), t(4), t(5)),
+        event("b", "assistant_message", "u", "deleted", t(2), t(2), t(3)), event("b", "assistant_message", "u", "", t(2), t(6)),  # no end
+        event("c", "assistant_message", "u", "deleted too", t(3), t(3), t(3)), event("c", "assistant_message", "u", None, t(7)),  # only its own time
+        event("d", "assistant_message", "u", "x", "2024-01-01T00:00:08.000000200Z"), event("e", "assistant_message", "u", "y", "2024-01-01T00:00:08.000000100Z"),
+    ]
+    threads = spark.createDataFrame([("t",)], "id string")
+    for order in (rows, rows[::-1]):
+        got = conversations.conversations(spark.createDataFrame(order, STEPS), threads).orderBy("position").collect()
+        assert [(r.id, r.text) for r in got] == [("u", "edited wording"), ("a", "second try"), ("e", "y"), ("d", "x")]
+    # a deletion of the only answer leaves the question without one
+    assert conversations.found(spark.createDataFrame([rows[0], *rows[4:6]], STEPS), threads).count() == 0
+
+
 def test_pair_defects(spark):
     good = ["The margin of the firm rose by 3.2% in the quarter.", "Sales of the unit fell because of weak demand.", "이익은 10억원으로 증가하였다. 수요는 회복될 전망이다.", "매출이 늘었고 등급은 A3로 유지되었다."]
     cases = {
