@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.source_lines import MIN_LETTERS, repeated_lines, source_of
+from inkstone.llm.source_lines import MIN_LETTERS, repeated_lines, with_source
 from inkstone.runtime import fit_parallelism, materialize
 
 #: Share of texts in which a word must stand to count as common, and to be kept at all.
@@ -504,7 +504,7 @@ def scan_repaired(chunks: DataFrame, issuers: DataFrame, texts: bool = True) ->
     """
     spark = chunks.sparkSession
     proper = F.coalesce(F.col("chunk_type") == "text", F.lit(False))
-    given = chunks.where("doc_id is not null and chunk_index is not null").select(source_of(F.col("doc_id"), issuers).alias("issuer"), "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), (proper & _is_pdf(F.col("doc_id"))).alias("page"), "text", proper.alias("proper"))
+    given = with_source(chunks.where("doc_id is not null and chunk_index is not null"), issuers).select("issuer", "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), (proper & _is_pdf(F.col("doc_id"))).alias("page"), "text", proper.alias("proper"))
     scan = materialize(fit_parallelism(given).mapInArrow(_scan, _SCAN), "scan-pass")
     lexicon = spark.sparkContext.broadcast(_pack(lexicon_of(scan)))
     own_rows = scan.where("word is null").select("issuer", "doc_id", "chunk_index", "page", F.size("hashes").alias("_n"), F.posexplode("hashes").alias("line_no", "h")).where("h is not null")

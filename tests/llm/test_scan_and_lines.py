@@ -103,3 +103,24 @@ def test_bitmaps_count_exactly_over_many_groups(spark, monkeypatch):
     table = spark.createDataFrame([(f"acme-research-{d}.pdf", "", None, 0, f"a line that stands in some documents\nunique line number {'x' * d}" if d % 4 == 0 else "another one here", "text", None, None, []) for d in range(101)], CHUNKS)
     _, keys = source_lines.repeated_lines(table, issuers(spark))
     assert sorted(r.n_docs for r in keys.collect()) == [26, 75]
+
+
+def test_many_sources(spark, monkeypatch):
+    names = [f"{tag}_doc {d}.pdf" for t in range(2000) for d in range(2) for tag in [f"House{t:04d} Lab"]] + ["nobody.pdf", "house0007-lab-extra_1.pdf"]
+    rows = spark.createDataFrame([(n,) for n in names], "doc_id string")
+    table = spark.createDataFrame([(f"S{t:04d}", f"house{t:04d}-lab") for t in range(2000)] + [("X", "house0007-lab-extra"), (None, "nobody"), ("Y", None)], "issuer_code string, filename_tag string")
+    got = {r.doc_id: r.issuer for r in source_lines.with_source(rows, table).collect()}
+    assert len(got) == len(names) and all(got[n] == f"S{n[5:9]}" for n in names[:4000]) and got["nobody.pdf"] is None and got["house0007-lab-extra_1.pdf"] == "X"
+    monkeypatch.setattr(source_lines, "_MAX_INLINE_SOURCES", 5000)
+    some = spark.createDataFrame([(n,) for n in names[:40] + names[-2:]], "doc_id string")
+    few = table.where("issuer_code < 'S0030' or issuer_code = 'X'")
+    assert {r.doc_id: r.issuer for r in source_lines.with_source(some, few).collect()} == {n: got[n] for n in names[:40] + names[-2:]}
+
+
+def test_differing_versions_lose_their_own_lines(spark):
+    notice = "a notice that stands everywhere"
+    rows = [(f"acme-research {d}.pdf", "", None, 0, f"{notice}\nbody {'x' * d}", "text", None, None, []) for d in range(8)]
+    rows += [("acme-research v.pdf", "", None, 0, f"b first\n{notice}", "text", None, None, []), ("acme-research v.pdf", "", None, 0, f"{notice}\na second one", "text", None, None, [])]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: r.text for r in source_lines.without_source_lines(spark.createDataFrame(order, CHUNKS), issuers(spark)).collect()}
+        assert got["acme-research v.pdf"] == "a second one" and got["acme-research 1.pdf"] == "body x"
