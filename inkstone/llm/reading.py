@@ -32,12 +32,16 @@ _LENGTHS = np.array([5, 8, 11, 14, 18, 22, 27, 33, 40, 50])
 
 _ARG = r"\s*(?:\[[^\]]*\]\s*)?\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 _COMMENT = re.compile(r"(?<!\\)%[^\n]*")
+#: A formula ends within its paragraph; a sign that no other closes there is a stray one, and only it is taken out.
+_INSIDE = r"(?:[^\n{}]|\n(?![ \t\r]*\n))"
+_ENVIRONMENT = r"comment|thebibliography|table\*?|tabular|equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|figure\*?|verbatim|lstlisting|tikzpicture"
 _APART = re.compile(
-    r"\\begin\{(comment|thebibliography|table\*?|tabular|equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|figure\*?|verbatim|lstlisting|tikzpicture)\}.*?(?:\\end\{\1\}|\Z)"
-    r"|\\iffalse\b.*?(?:\\fi\b|\Z)"
-    r"|\\\[.*?(?:\\\]|\Z)|\$\$.*?(?:\$\$|\Z)|\\\(.*?\\\)|\$[^$]*\$",
+    rf"\\begin\{{({_ENVIRONMENT})\}}(?:.*?\\end\{{\1\}}|(?:{_INSIDE.format('')})*)"  # one without an end reaches to the end of its paragraph
+    + rf"|\\iffalse\b(?:.*?\\fi\b|(?:{_INSIDE.format('')})*)"
+    + rf"|\\\[(?:{_INSIDE.format('')})*?\\\]|\$\$(?:{_INSIDE.format('$')})+\$\$|\\\((?:{_INSIDE.format('')})*?\\\)|\$(?:{_INSIDE.format('$')})+\$",
     re.DOTALL,
 )
+_STRAY = re.compile(r"\\[\[\]()]|\$+")
 _DEFINITION = re.compile(
     r"\\(?:documentclass|usepackage|bibliographystyle|bibliography|include|input|subfile|label|cite\w*|ref|eqref|footnote|todo|includegraphics|caption|title|author|date|thanks|affiliation|email|keywords|section\*?|subsection\*?|subsubsection\*?|paragraph\*?|chapter\*?|begin|end|hspace|vspace|textcolor\s*\{[^{}]*\}|color)" + _ARG
     + r"|\\(?:re)?newcommand\*?\s*\{?\\\w+\}?(?:\s*\[[^\]]*\])*" + _ARG.removeprefix(r"\s*(?:\[[^\]]*\]\s*)?")
@@ -67,7 +71,7 @@ def prose(text: str | None) -> list[list[str]]:
     at = t.find("\\end{document}")
     if at >= 0:
         t = t[:at]
-    t = _APART.sub(" ", t)
+    t = _STRAY.sub(" ", _APART.sub(" ", t))
     t = _DEFINITION.sub(" ", t)
     if "\\" in t:
         t = _ACCENT.sub(r"\1", t)
@@ -209,11 +213,6 @@ class LevelModel:
         x = (self.scorer.features(sentences) - self.mean) / self.scale
         return _softmax(np.append(x, 1.0) @ self.weights)
 
-    def level(self, sentences: list[list[str]]) -> int:
-        """The level that leaves the least expected error of rank."""
-        p = self.probabilities(sentences)
-        return LEVELS[int(np.argmax(p))]
-
 
 def _logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.02, steps: int = 400) -> np.ndarray:
     """Multinomial logistic regression with a ridge, by accelerated descent."""

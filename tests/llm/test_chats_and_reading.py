@@ -123,3 +123,12 @@ def test_levels_of_held_out_documents(spark):
     assert not {1000, 1001, 1002} & set(got) and got[1003] in reading.LEVELS
     assert len(reading.found(docs.where("doc_id < 5"), labels.where("false")).collect()) == 5
     assert reading.found(docs.where("false"), labels).count() == 0
+
+
+def test_stray_signs_cut_nothing_off():
+    rest = [["the", "rest", "of", "it", "stays", "here"]]
+    for stray in ("$$ 5 to make. ", "\\[ 5 to make. ", "$ 5 to make. "):
+        assert reading.prose(f"It cost {stray}The rest of it stays here.")[1:] == rest, stray
+    assert reading.prose("\\begin{equation} a = b\n\nThe rest of it stays here.") == rest
+    assert reading.prose("\\begin{comment} bad text\n\nmore bad text \\end{comment} The rest of it stays here.") == rest
+    assert reading.prose("One costs $$ 5 now.\n\nAnother one, $x$, of $$ a\n b $$ too.") == [["one", "costs", "now"], ["another", "one", "of", "too"]]
