@@ -1,10 +1,12 @@
 """Items of varying length put into containers of fixed capacity.
 
 Packing is hierarchical.  First every partition packs its own items best-fit,
-longest first.  Containers that are nearly full are final.  The others become
-items themselves, fewer partitions take them, and the same is done again, until
-a round leaves them all in one partition or nothing is left to merge.  Only a
-partition's items meet in one task, so the work is spread and its size bounded.
+longest first.  Containers that are nearly full are final.  The others go to
+fewer partitions, where they are merged by best fit with those of their
+neighbours, and so on up the tree, until they all have met in one partition,
+nothing is left to merge, or a round saves next to none.  A container that is
+merged is opened, for whole ones that are nine tenths full fit with no other.  As many partitions are kept as there are ``TASK_ITEMS`` items for,
+and no task packs more than that at a time, so the work is spread and bounded.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.runtime import fit_parallelism, materialize
+from inkstone.runtime import materialize
 
 CAPACITY = 4096
 #: A container is final once it is so full.
 NEARLY_FULL = 0.998
 #: Items for one task, how many partitions merge into one from round to round, and the least number to begin with.
 TASK_ITEMS, FAN_IN, LEAST_PACKS = 100_000, 8, 8
+#: Share of the underfull containers that a round has to save for another one to follow.
+LEAST_GAIN = 0.001
 
 
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
@@ -55,25 +59,35 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], lis
 
 
 def _round(items: DataFrame, capacity: int, level: int) -> DataFrame:
-    """(item, size, container, fill) by best fit within each partition."""
+    """(item, size, container, fill) by best fit within each partition, at most ``TASK_ITEMS`` items at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names: list[str] = []
-        sizes: list[int] = []
+        block = 0
+
+        def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            sizes = table.column(1).to_pylist()
+            where, fill = best_fit(sizes, capacity)
+            label = f"{level}-{TaskContext.get().partitionId()}-{block}-"
+            out = table.append_column("container", pa.array([f"{label}{b}" for b in where], pa.string())).append_column("fill", pa.array([fill[b] for b in where], pa.int32()))
+            return iter(out.combine_chunks().to_batches(50_000))
+
+        open_: list[pa.RecordBatch] = []
+        held = 0
         for batch in batches:
-            names += batch.column(0).to_pylist()
-            sizes += batch.column(1).to_pylist()
-        order = sorted(range(len(names)), key=lambda i: names[i])  # a retried task packs alike
-        names, sizes = [names[i] for i in order], [sizes[i] for i in order]
-        where, fill = best_fit(sizes, capacity)
-        label = f"{level}-{TaskContext.get().partitionId()}-"
-        for at in range(0, len(names), 50_000):
-            w = where[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(names[at:at + 50_000]), pa.array(sizes[at:at + 50_000], pa.int32()), pa.array([f"{label}{b}" for b in w]), pa.array([fill[b] for b in w], pa.int32())], ["item", "size", "container", "fill"])
+            while held + batch.num_rows >= TASK_ITEMS:
+                take = TASK_ITEMS - held
+                yield from packed(pa.Table.from_batches([*open_, batch.slice(0, take)]))
+                open_, held, block, batch = [], 0, block + 1, batch.slice(take)
+            if batch.num_rows:
+                open_.append(batch)
+                held += batch.num_rows
+        if open_:
+            yield from packed(pa.Table.from_batches(open_))
 
-    return items.mapInArrow(run, "item string, size int, container string, fill int")
+    # in order, so that a task that is tried again packs alike; Spark sorts, and spills, and Python holds one block
+    return items.sortWithinPartitions("item").mapInArrow(run, "item string, size int, container string, fill int")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
@@ -96,17 +110,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", size:
     rest = parts.where(F.col("size") < capacity).select(name.alias("item"), "size")
     count = rest.count()
     partitions = max(LEAST_PACKS, math.ceil(count / TASK_ITEMS))
+    enough = capacity * NEARLY_FULL
     placed = materialize(_round(rest.repartition(partitions, F.xxhash64("item")), capacity, 0), "pack-0")
-    level, parents = 0, []
+    level, out, loose = 0, placed.where(F.col("fill") >= enough), placed.where(F.col("fill") < enough)
     while partitions > 1:
-        level += 1
-        partitions = math.ceil(partitions / FAN_IN)
-        loose = (parents[-1] if parents else placed).where(F.col("fill") < capacity * NEARLY_FULL).select(F.col("container").alias("item"), F.col("fill").alias("size")).distinct()
-        parents.append(materialize(_round(loose.repartition(partitions, F.xxhash64("item")), capacity, level), f"pack-{level}"))
-    out = placed.select("item", "container", "fill")
-    for p in parents:
-        up = p.select(F.col("item").alias("container"), F.col("container").alias("_up"), F.col("fill").alias("_fill"))
-        out = out.join(up, "container", "left").select("item", F.coalesce("_up", "container").alias("container"), F.coalesce("_fill", "fill").alias("fill"))
+        held = loose.agg(F.count("*"), F.count_distinct("container")).first()
+        if held[1] < 2:
+            break
+        level, partitions = level + 1, max(math.ceil(partitions / FAN_IN), math.ceil(held[0] / TASK_ITEMS))
+        merged = materialize(_round(loose.select("item", "size").repartition(partitions, F.xxhash64("item")), capacity, level), f"pack-{level}")
+        saved = held[1] - merged.select("container").distinct().count()
+        if saved >= 0:
+            out, loose = out.unionByName(merged.where(F.col("fill") >= enough)), merged.where(F.col("fill") < enough)
+        if saved < LEAST_GAIN * held[1] and partitions > 1:
+            break
+    out = out.unionByName(loose).select("item", "container", "fill")
     full = parts.where(F.col("size") >= capacity).select(key, "part", "first", "size", F.concat(F.lit("full-"), name).alias("container"), F.col("size").alias("fill"))
     return parts.where(F.col("size") < capacity).withColumn("item", name).join(out, "item").select(key, "part", "first", "size", "container", "fill").unionByName(full)
 
@@ -117,5 +135,3 @@ def pack_texts(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str | None
 
     return pack(encode(docs, tokenizers or TOKENIZERS, counts_only=True), capacity)
 
-
-__all__ = ["best_fit", "fit_parallelism", "pack", "pack_texts"]

@@ -133,3 +133,22 @@ def test_few_items_go_through_the_rounds_too(spark):
     got = packing.pack(spark.createDataFrame([(i, 1 + i % 30) for i in range(200)], "doc_id long, n_tokens int"), 100).collect()
     packs = {r.container for r in got}
     assert len(got) == 200 and any(c.startswith("1-") for c in packs) and sum(r.size for r in got) / (100 * len(packs)) > 0.95
+
+
+def test_small_tasks_pack_whole_corpora_well(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sized = tokens.encode(docs, counts_only=True).collect()
+    df = spark.createDataFrame(sized, "doc_id long, n_tokens int")
+    monkeypatch.setattr(packing, "TASK_ITEMS", 150)
+    got = packing.pack(df).collect()
+    fill = {}
+    for r in got:
+        fill[r.container] = fill.get(r.container, 0) + r.size
+    assert sum(fill.values()) == sum(r.n_tokens for r in sized) and max(fill.values()) <= packing.CAPACITY
+    assert sum(fill.values()) / (packing.CAPACITY * len(fill)) >= 0.99
+
+
+def test_items_that_never_fit_together_end(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ITEMS", 50)
+    got = packing.pack(spark.createDataFrame([(i, 60) for i in range(900)], "doc_id long, n_tokens int"), 100).collect()
+    assert len({r.container for r in got}) == 900
