@@ -1,10 +1,11 @@
 """Repair of text that was read from scanned pages.
 
 Three kinds of knowledge come from the corpus, each by one pass of partial
-counts: which lines a document repeats on its pages (running headers and
-footers), which lines its source repeats (see ``source_lines``), and which
-words are established.  The rest is done chunk by chunk in Arrow batches: page
-edges are dropped, words hyphenated over two lines are joined, misread
+counts: which lines a document repeats on its pages, misread or not (running
+headers and footers), which lines its source repeats (see ``source_lines``), and
+which words are established, hyphenated ones among them.  The rest is done chunk
+by chunk in Arrow batches: page edges are dropped, words divided over two lines
+are joined with or without their hyphen as the vocabulary has them, misread
 characters are put back where an established word differs by one glyph that
 looks alike, and wrapped lines become paragraphs.
 
@@ -15,10 +16,12 @@ text) / KEEP of them, whatever the size of the corpus.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import product
 
 import pyarrow as pa
 import xxhash
@@ -32,6 +35,8 @@ from inkstone.runtime import fit_parallelism, materialize
 COMMON, KEEP = 0.003, 0.00015
 #: A misreading is at least so many times rarer than the word it stands for.
 RARER = 20
+#: A word among whose characters so many digits stand that it has more spellings than these is none.
+MOST_SPELLINGS = 10_000
 #: Least numbers of texts behind a common word and a kept one.
 LEAST_COMMON, LEAST_KEPT = 8, 2
 
@@ -54,12 +59,15 @@ LOOKALIKES = (("j", "i"), ("f", "t"), ("I", "l"), ("e", "c"), ("c", "e"), ("rn",
 _VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 
 
-_PAGE_ENDS = frozenset("-–—―])>〉》}|·•쪽지면이")
+_PAGE_ENDS = frozenset("-–—―])>〉》}|·•쪽지면이－）］＞｝｜")
 
 
 def is_page_number(line: str) -> bool:
     """Whether a line holds nothing but a page number."""
-    return PAGE_LINE.fullmatch(unicodedata.normalize("NFKC", line).strip() if not line.isascii() else line.strip()) is not None
+    flat = line.strip()
+    if not flat or not (flat[-1] in _PAGE_ENDS or flat[-1].isdigit()):
+        return False
+    return PAGE_LINE.fullmatch(flat if flat.isascii() else unicodedata.normalize("NFKC", flat).strip()) is not None
 
 
 def _jamo(syllable: str) -> tuple[int, int, int]:
@@ -101,12 +109,12 @@ class Lexicon:
         self.common = max(LEAST_COMMON, COMMON * texts)
         self.holes: dict[str, list[str]] = defaultdict(list)
         for word, n in counts.items():
-            if n >= self.common and len(word) > 1 and "가" <= word[0] <= "힣":
+            if n >= self.common and len(word) > 1 and "가" <= word[0] <= "힣" and "-" not in word:
                 for i in range(len(word)):
                     self.holes[f"{word[:i]}\0{word[i + 1:]}"].append(word)
         self.seen: dict[str, str | None] = {}
         #: common words that are no misreadings of still more common ones; they need no second look
-        self.sure = frozenset(w for w, n in counts.items() if n >= self.common and self.meant(w) is None)
+        self.sure = frozenset(w for w, n in counts.items() if n >= self.common and "-" not in w and self.meant(w) is None)
         self.look = _Doubtful(self)
 
     def doubtful(self, token: str) -> bool:
@@ -120,6 +128,21 @@ class Lexicon:
         n = self.counts.get(word, 0)
         return n >= self.common and n >= RARER * rare
 
+    def _texts(self, word: str) -> int:
+        return self.counts.get(word, 0) or self.counts.get(word.lower(), 0)
+
+    def hyphenated(self, first: str, second: str) -> bool:
+        """Whether a word divided over two lines has a hyphen of its own.
+
+        The spelling that more texts have counts; where none has either, two
+        established words are a compound with a hyphen and anything else is one
+        word.  Words of other scripts than Latin are written without.
+        """
+        one, two = self._texts(first + second), self._texts(f"{first}-{second}")
+        if one or two:
+            return two > one
+        return first.isascii() and second.isascii() and len(first) > 1 and len(second) > 2 and min(self._texts(first), self._texts(second)) >= self.common
+
     def hangul(self, word: str) -> str | None:
         """The word that a run of Hangul is a misreading of."""
         if len(word) < 2:
@@ -152,13 +175,21 @@ class Lexicon:
 
     def _unspaced(self, run: str) -> str | None:
         """A run of several words of Hangul: what is not covered is held against the common words."""
-        for u in self._uncovered(run, 9):
-            for n in range(7, 1, -1):
-                for a in range(max(0, u - n + 1), min(u, len(run) - n) + 1):
-                    v = self.hangul(run[a:a + n])
-                    if v:
-                        return run[:a] + v + run[a + n:]
-        return None
+        return self._mended(run, 9, range(7, 1, -1), self.hangul)
+
+    def _mended(self, run: str, longest: int, sizes: range, meant: Callable[[str], str | None]) -> str | None:
+        """A run with every part that no word covers replaced by what it means; null if there is nothing to replace."""
+        now = run
+        for _ in run:  # a replacement may uncover the next one
+            found = next(
+                ((a, n, v) for u in self._uncovered(now, longest) for n in sizes for a in range(max(0, u - n + 1), min(u, len(now) - n) + 1) if (v := meant(now[a:a + n]))),
+                None,
+            )
+            if found is None:
+                break
+            a, n, v = found
+            now = now[:a] + v + now[a + n:]
+        return now if now != run else None
 
     def latin(self, word: str) -> str | None:
         """The word that a run of Latin letters and digits is a misreading of."""
@@ -193,14 +224,7 @@ class Lexicon:
 
     def _glued(self, run: str) -> str | None:
         """A run of several words of letters: what is not covered is held against the common words."""
-        for u in self._uncovered(run, 16):
-            for n in range(14, 5, -1):
-                for a in range(max(0, u - n + 1), min(u, len(run) - n) + 1):
-                    w = run[a:a + n]
-                    v = self._swap(w, 1, 1) if w.islower() and w not in self.counts else None
-                    if v:
-                        return run[:a] + v + run[a + n:]
-        return None
+        return self._mended(run, 16, range(14, 5, -1), lambda w: self._swap(w, 1, 1) if w.islower() and w not in self.counts else None)
 
     def _mixed(self, word: str) -> str | None:
         """Letters among digits, or digits among letters, where the shape is not an established one."""
@@ -210,11 +234,12 @@ class Lexicon:
         if digits != word and _PLAIN_NUMBER.fullmatch(digits) and ("." in digits or "," in digits or rare < self.common):
             return digits
         if sum(c.islower() for c in word) >= 2 and rare < self.common:
-            options = [""]
-            for c in word:
-                options = [o + x for o in options for x in AS_LETTER.get(c, c)][:64]
-            known = next((o for o in options if self._over(o, 1)), None)
-            return known or (options[0] if _INSIDE.search(word) and options[0].isalpha() else None)
+            choices = [AS_LETTER.get(c, c) for c in word]
+            if math.prod(map(len, choices)) > MOST_SPELLINGS:
+                return None
+            known = next((o for o in map("".join, product(*choices)) if self._over(o, 1)), None)
+            first = "".join(x[0] for x in choices)
+            return known or (first if _INSIDE.search(word) and first.isalpha() else None)
         return None
 
     def meant(self, token: str) -> str | None:
@@ -230,6 +255,7 @@ class Lexicon:
 _INSIDE = re.compile(r"[a-z][0-9][a-z]")
 #: Runs of Hangul, and runs of Latin letters and digits, with the points and commas inside, that have a letter.
 _TOKEN = re.compile(r"[가-힣]+|(?:\d[\d.,]*)?[A-Za-z][A-Za-z0-9]*(?:[.,][A-Za-z0-9]+)*")
+_COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _PLAIN_NUMBER = re.compile(r"\d{1,3}(?:,\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?")
 
 
@@ -277,7 +303,7 @@ def _sort_lines(raw: list[str], headers: set[int], sources: set[int]) -> tuple[s
             continue
         if i in headers:
             kinds.add("header")
-        elif len(flat) <= 24 and (flat[-1] in _PAGE_ENDS or flat[-1].isdigit()) and is_page_number(flat):
+        elif is_page_number(flat):
             pages.add(i)
             kinds.add("pagenum")
         elif flat[-1] in _HYPHENS and BROKEN_END.search(flat):
@@ -285,21 +311,6 @@ def _sort_lines(raw: list[str], headers: set[int], sources: set[int]) -> tuple[s
     return pages, kinds
 
 
-def damage(text: str, headers: set[int], sources: set[int], lexicon: Lexicon) -> set[str]:
-    """The kinds of damage in a text; see ``repair``."""
-    raw = text.split("\n")
-    pages, kinds = _sort_lines(raw, headers, sources)
-    body = raw
-    if pages or headers or sources or "linebreak" in kinds:
-        body = [x for i, x in enumerate(raw) if i not in pages and i not in headers and i not in sources and not (_SET_OFF.search(x) and not _DIGITS.search(x) and not _ends(x))]
-    joined = "\n".join(body)
-    if "linebreak" in kinds:
-        joined = _BROKEN.sub("", joined)
-    if correct(joined, lexicon)[1]:
-        kinds.add("character")
-    return kinds
-
-
 def repair(text: str, headers: set[int], sources: set[int], lexicon: Lexicon) -> tuple[str, set[str]]:
     """The repaired text and the kinds of damage found.
 
@@ -340,8 +351,11 @@ def repair(text: str, headers: set[int], sources: set[int], lexicon: Lexicon) ->
         elif pending and _SET_OFF.search(flat) and not _DIGITS.search(flat) and not _ends(flat):
             held.append(line)  # a line set off by a rule stands between the halves of a word
         else:
-            if pending or not current:
-                current += flat
+            if pending:
+                head, tail = _LAST_WORD.search(current), _FIRST_WORD.match(flat)
+                current += ("-" if head and tail and lexicon.hyphenated(head[0], tail[0]) else "") + flat
+            elif not current:
+                current = flat
             elif held or not _ends(last) or len(last) + 1 + len(flat.split(None, 1)[0]) > width <= _MOST_WIDTH:
                 current += " " + flat
             else:
@@ -361,7 +375,7 @@ def repair(text: str, headers: set[int], sources: set[int], lexicon: Lexicon) ->
     return "\n".join(next(parts) if body else part for part, body in done).strip("\n"), kinds
 
 
-_BROKEN = re.compile(rf"(?<=[^\W\d_])[{_HYPHENS}][ \t\r]*\n\s*")
+_LAST_WORD, _FIRST_WORD = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
 #: A line that ends a sentence this much before the longest line ends a paragraph; no page is set in shorter lines than this.
 #: Text with longer lines than the greatest width was never set in lines, and its sentences end where they did.
 _LEAST_WIDTH, _MOST_WIDTH = 40, 120
@@ -380,31 +394,69 @@ def _texts(chunks: DataFrame) -> DataFrame:
     return chunks.where((F.col("chunk_type") == "text") & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & F.col("chunk_index").isNotNull())
 
 
-def own_lines(lines: DataFrame) -> DataFrame:
-    """Hashes of lines that stand in at least two chunks of one document and in no other document.
-
-    One grouping by the hash of the line's key finds them; it needs least and
-    greatest document and chunk, no lists.
-    """
-    d = F.xxhash64("doc_id")
-    found = lines.where("page").groupBy("h").agg(F.min(d).alias("d0"), F.max(d).alias("d1"), F.min("chunk_index").alias("c0"), F.max("chunk_index").alias("c1"), F.bool_and("edge").alias("edge"), F.count("*").alias("n"))
-    return found.where("d0 = d1 and c0 < c1").select("h", (F.col("edge") & (F.col("n") >= 3)).alias("edge"))
+#: A line set off by a bar or rule is a running header from two chunks on, any other from so many and this share of the document's on.
+PLAIN_HEADER, PLAIN_SHARE = 3, 0.5
+#: Letters at either end of a line by which lines meet that may be readings of one, and one letter in so many that may be misread where a line is set off and where not.
+_ENDS, _MISREAD, _PLAIN_MISREAD = 5, 8, 16
+#: Share of the documents that have a line at all in which it has to be a header.
+_OWN = 0.5
 
 
-def is_header(line: str, edge: bool) -> bool:
-    """Whether a line of the document's own, repeated in its chunks, is a running header.
+def header_lines(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, line_no) of running headers and footers.
 
-    It has no digits, no end of a sentence and no bullet, and is set off by a bar
-    or rule or, without one, stands only at page edges.
+    ``heads`` has doc_id, chunk_index, line_no, key, plain (at a page edge and
+    without digits) and off (set off by a bar or rule) of the lines that may be
+    one by their form; ``lines`` doc_id, chunk_index and h of all lines.  Lines
+    of a document that begin or end alike meet in a group; the most frequent of
+    a group stands for it, and those within a small edit distance of it are
+    readings of the same line, so no pairs are formed.  The line is a header if
+    its readings stand in two chunks of the document and are set off, or are
+    plain throughout and stand in ``PLAIN_HEADER`` chunks and ``PLAIN_SHARE`` of
+    all; and if it is one in most of the documents that have it, which lets a
+    series share its header and leaves phrases that documents repeat by chance.
     """
-    flat = line.strip()
-    return len(flat) <= 120 and (edge or _SET_OFF.search(flat) is not None) and _NO_HEADER.search(flat) is None
-
-
-_NO_HEADER = re.compile(r"\d|[.!?。,;:]$|^[-•▪*]\s")
-
-
-_SCAN = "issuer string, doc_id string, chunk_index int, page boolean, hashes array<bigint>, word string, n bigint"
+    ends = F.array(F.xxhash64(F.lit("<"), F.left("key", F.lit(_ENDS))), F.xxhash64(F.lit(">"), F.right("key", F.lit(_ENDS))))
+    counts = (F.min("chunk_index").alias("c0"), F.max("chunk_index").alias("c1"), F.count("*").alias("n"), F.bool_and("plain").alias("plain"), F.bool_or("off").alias("off"))
+    once = heads.groupBy("doc_id", "key", "chunk_index").agg(F.bool_and("plain").alias("plain"), F.bool_or("off").alias("off"))
+    spread = once.groupBy("doc_id", "key").agg(*counts).withColumn("end", F.explode(ends))
+    groups = spread.groupBy("doc_id", "end").agg(F.min("c0").alias("g0"), F.max("c1").alias("g1"), F.max(F.struct("n", "key"))["key"].alias("rep")).where("g0 < g1").select("doc_id", "end", "rep")
+    near = spread.join(groups, ["doc_id", "end"]).where(F.levenshtein("key", "rep") <= F.greatest(F.lit(1), F.floor(F.length("rep") / F.when(F.col("off"), _MISREAD).otherwise(_PLAIN_MISREAD))))
+    read = materialize(near.groupBy("doc_id", "key").agg(F.min("rep").alias("rep"), *(F.first(c).alias(c) for c in ("c0", "c1", "n", "plain", "off"))), "scan-heads")
+    own = read.groupBy("doc_id", "rep").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("n").alias("n"), F.bool_and("plain").alias("plain"), F.bool_or("off").alias("off"))
+    own = own.where(f"c0 < c1 and (off or plain and n >= {PLAIN_HEADER})")
+    sizes = lines.select("doc_id", "chunk_index").distinct().groupBy("doc_id").agg(F.count("*").alias("all"))
+    own = own.join(sizes, "doc_id").where(F.col("off") | (F.col("n") >= F.col("all") * PLAIN_SHARE))
+    own = materialize(own.select("doc_id", "rep", F.xxhash64("rep").alias("h")), "scan-own-lines")
+    held = lines.join(own.select("h").distinct(), "h", "left_semi").select("doc_id", "h").distinct().groupBy("h").agg(F.count("*").alias("held"))
+    mine = own.groupBy("h").agg(F.count("*").alias("mine")).join(held, "h").where(F.col("mine") > F.col("held") * _OWN).select("h")
+    found = read.join(own.join(mine, "h", "left_semi"), ["doc_id", "rep"]).select("doc_id", "key")
+    return heads.join(found, ["doc_id", "key"]).select("doc_id", "chunk_index", "line_no")
+
+
+_NO_HEADER = re.compile(r"[.!?。,;:]$|^[-•▪*]\s")
+_SCAN = "issuer string, doc_id string, chunk_index int, page boolean, hashes array<bigint>, at array<int>, keys array<string>, form array<int>, word string, n bigint"
+
+
+def _forms(raw: list[str], keys: list[str]) -> Iterator[tuple[int, str, int]]:
+    """(number, key, 1 if plain + 2 if set off) of the lines that may be running headers; plain is at a page edge and without digits.
+
+    Page edges are the first two and the last two lines of a text that are not
+    blank or a page number, and the lines next to a page number.
+    """
+    full = [i for i, x in enumerate(raw) if x and not x.isspace()]
+    pages = {i for i in full if is_page_number(raw[i])}
+    kept = [i for i in full if i not in pages]
+    edges = {*kept[:2], *kept[-2:]}
+    for k, i in enumerate(full):
+        if i in pages:
+            edges.update(full[max(0, k - 1):k + 2])
+    for i in kept:
+        line = raw[i]
+        off = any(c in line for c in "|—―·") and _SET_OFF.search(line) is not None
+        plain = i in edges and _DIGITS.search(line) is None
+        if (off or plain) and len(keys[i]) >= MIN_LETTERS and _NO_HEADER.search(line.strip()) is None:
+            yield i, keys[i], plain + 2 * off
 
 
 class _Keys(dict):
@@ -438,7 +490,10 @@ class _Shapes(dict):
     """From what stands between spaces, as bytes with digits as 9, to its tokens; remembers what it has seen."""
 
     def __missing__(self, word: bytes) -> tuple[str, ...]:
-        out = tuple(w for w in _TOKEN.findall(word.decode("utf-8", "surrogatepass")) if len(w) < 40)
+        text = word.decode("utf-8", "surrogatepass")
+        out = tuple(w for w in _TOKEN.findall(text) if len(w) < 40)  # what is longer is no word
+        if b"-" in word:
+            out += tuple(w for w in _COMPOUND.findall(text) if len(w) < 40)
         if len(self) < _MEMORY and len(word) < 120:
             self[word] = out
         return out
@@ -448,27 +503,35 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over all texts: the hashes of their lines' keys, and counts of words of the texts proper."""
     counts: Counter[str] = Counter()
     shapes = _Shapes()
-    schema = pa.schema([("issuer", pa.string()), ("doc_id", pa.string()), ("chunk_index", pa.int32()), ("page", pa.bool_()), ("hashes", pa.list_(pa.int64())), ("word", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("issuer", pa.string()), ("doc_id", pa.string()), ("chunk_index", pa.int32()), ("page", pa.bool_()), ("hashes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("keys", pa.list_(pa.string())), ("form", pa.list_(pa.int32())), ("word", pa.string()), ("n", pa.int64())])
 
     def words() -> pa.RecordBatch:
         n = len(counts)
-        batch = pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(schema)[:5]), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+        batch = pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(schema)[:8]), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
         counts.clear()
         return batch
 
     for batch in batches:
-        hashes = []
-        for text, proper in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+        hashes: list[list[int | None]] = []
+        heads: tuple[list, list, list] = ([], [], [])
+        for page, text, proper in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+            for x in heads:
+                x.append([])
             if text is None:
                 hashes.append([])
                 continue
-            hashes.append([_signed(xxhash.xxh64_intdigest(k.encode(), 42)) if len(k) >= MIN_LETTERS else None for k in line_keys(text)])
+            keys = line_keys(text)
+            hashes.append([_signed(xxhash.xxh64_intdigest(k.encode(), 42)) if len(k) >= MIN_LETTERS else None for k in keys])
+            if page:
+                for found in _forms(text.split("\n"), keys):
+                    for x, value in zip(heads, found, strict=True):
+                        x[-1].append(value)
             if proper:
                 masked = text.encode("utf-8", "surrogatepass").translate(_MASK)
                 counts.update(set().union(*map(shapes.__getitem__, set(masked.split()))))
                 counts[""] += 1
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, pa.list_(pa.int64())), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, schema.types[4]), *(pa.array(x, t) for x, t in zip(heads, schema.types[5:8], strict=True)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=schema)
         if len(counts) > 300_000:
             yield words()
     yield words()
@@ -493,27 +556,27 @@ def lexicon_of(scan: DataFrame) -> Lexicon:
     return Lexicon(words, shapes, texts)
 
 
-def scan_repaired(chunks: DataFrame, issuers: DataFrame, texts: bool = True) -> DataFrame:
+def scan_repaired(chunks: DataFrame, issuers: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, text, kinds) of every text chunk of a PDF file.
 
     ``text`` is the repaired text, ``kinds`` the sorted kinds of damage found
     (character, header, linebreak, pagenum).  Null texts are left out, blank
     texts come out empty; repeated rows come out once per row, of differing ones
-    each by itself; an empty table gives no rows.  Without ``texts`` the column
-    is null, which spares building it.
+    each by itself; an empty table gives no rows.
     """
     spark = chunks.sparkSession
     proper = F.coalesce(F.col("chunk_type") == "text", F.lit(False))
     given = with_source(chunks.where("doc_id is not null and chunk_index is not null"), issuers).select("issuer", "doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), (proper & _is_pdf(F.col("doc_id"))).alias("page"), "text", proper.alias("proper"))
     scan = materialize(fit_parallelism(given).mapInArrow(_scan, _SCAN), "scan-pass")
     lexicon = spark.sparkContext.broadcast(_pack(lexicon_of(scan)))
-    own_rows = scan.where("word is null").select("issuer", "doc_id", "chunk_index", "page", F.size("hashes").alias("_n"), F.posexplode("hashes").alias("line_no", "h")).where("h is not null")
-    lines = own_rows.select("issuer", "doc_id", "chunk_index", "page", "line_no", "h", F.col("h").alias("v"), ((F.col("line_no") <= 1) | (F.col("line_no") >= F.col("_n") - 2)).alias("edge"))
-    source, _ = repeated_lines(chunks, issuers, lines=lines, docs=scan.where("word is null").select("issuer", "doc_id").distinct())
-    own = lines.where("page").join(own_lines(lines).alias("o"), "h").select("doc_id", "chunk_index", "line_no", F.when(F.col("o.edge"), 2).otherwise(1).alias("mark"))
-    marks = own.unionByName(source.select("doc_id", "chunk_index", "line_no", F.lit(0).alias("mark")))
+    rows = scan.where("word is null")
+    lines = rows.select("issuer", "doc_id", "chunk_index", "page", F.posexplode("hashes").alias("line_no", "h")).where("h is not null").withColumn("v", F.col("h"))
+    source, _ = repeated_lines(chunks, issuers, lines=lines, docs=rows.select("issuer", "doc_id").distinct())
+    heads = rows.where("page").select("doc_id", "chunk_index", F.explode(F.arrays_zip(F.col("at"), F.col("keys"), F.col("form"))).alias("f")).select("doc_id", "chunk_index", F.col("f.at").alias("line_no"), F.col("f.keys").alias("key"), (F.col("f.form") % 2 == 1).alias("plain"), (F.col("f.form") >= 2).alias("off"))
+    own = header_lines(heads, lines.where("page").select("doc_id", "chunk_index", "h"))
+    marks = own.withColumn("mark", F.lit(1)).unionByName(source.select("doc_id", "chunk_index", "line_no", F.lit(0).alias("mark")))
     # the marks of one text, at most two per line
-    marks = marks.groupBy("doc_id", "chunk_index").agg(F.collect_set(F.col("line_no") * 4 + F.col("mark")).alias("marks"))
+    marks = marks.groupBy("doc_id", "chunk_index").agg(F.collect_set(F.col("line_no") * 2 + F.col("mark")).alias("marks"))
     pages = _texts(chunks).where(_is_pdf(F.col("doc_id"))).select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text")
     marked = pages.join(marks.hint("shuffle_hash"), ["doc_id", "chunk_index"], "left").select("doc_id", "chunk_index", "text", "marks")
 
@@ -522,13 +585,9 @@ def scan_repaired(chunks: DataFrame, issuers: DataFrame, texts: bool = True) ->
         for batch in batches:
             fixed, kinds = [], []
             for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                headers: set[int] = set()
-                sources: set[int] = set()
-                if found:
-                    raw = text.split("\n")
-                    sources = {x // 4 for x in found if x % 4 == 0}
-                    headers = {x // 4 for x in found if x % 4 and x // 4 not in sources and x // 4 < len(raw) and is_header(raw[x // 4], x % 4 == 2)}
-                new, kind = repair(text, headers, sources, known) if texts else (None, damage(text, headers, sources, known))
+                sources = {x // 2 for x in found or () if x % 2 == 0}
+                headers = {x // 2 for x in found or () if x % 2} - sources
+                new, kind = repair(text, headers, sources, known)
                 fixed.append(new)
                 kinds.append(sorted(kind))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fixed, pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["doc_id", "chunk_index", "text", "kinds"])
@@ -552,4 +611,4 @@ def _unpack(packed: tuple[dict[str, int], dict[str, int], int]) -> Lexicon:
 
 def found(chunks: DataFrame, issuers: DataFrame) -> DataFrame:
     """One row per text chunk of a PDF file and kind of damage in it."""
-    return scan_repaired(chunks, issuers, texts=False).select("doc_id", "chunk_index", F.explode("kinds").alias("kind")).distinct()
+    return scan_repaired(chunks, issuers).select("doc_id", "chunk_index", F.explode("kinds").alias("kind")).distinct()

@@ -124,3 +124,41 @@ def test_differing_versions_lose_their_own_lines(spark):
     for order in (rows, rows[::-1]):
         got = {r.doc_id: r.text for r in source_lines.without_source_lines(spark.createDataFrame(order, CHUNKS), issuers(spark)).collect()}
         assert got["acme-research v.pdf"] == "a second one" and got["acme-research 1.pdf"] == "body x"
+
+
+def pages(spark, docs):
+    rows = [(d, "s", None, i, t, "text", None, None, []) for d, texts in docs.items() for i, t in enumerate(texts)]
+    return {(r.doc_id, r.chunk_index): r for r in scan_repair.scan_repaired(spark.createDataFrame(rows, CHUNKS), issuers(spark)).collect()}
+
+
+def test_headers_are_found_misread_with_digits_plain_and_in_series(spark):
+    body = [f"{BODY[i % 2]} Paragraph {'abcdefgh'[i]} goes on." for i in range(8)]
+    docs = {
+        "misread.pdf": [f"{h}\n{body[i]}" for i, h in enumerate(("Kolerane weekly | Havrin", "Ko1erane weekly | Havrin", "Kolerane weekiy | Havrin", "Kolerane weekly | Havnn"))],
+        "digits.pdf": [f"{body[i]}\nBudget 2023 review | Zed" for i in range(4)],
+        "plain.pdf": [f"Quarterly outlook of the Rivermouth district\n{body[i]}" for i in range(4)],
+        **{f"series {k}.pdf": [f"Letters to the members | Oakfield\n{body[i + k]}" for i in range(3)] for k in range(3)},
+        **{f"chance {k}.pdf": [f"a phrase that all of them | share\n{body[i]}" if i < 1 + (k == 0) else body[i] for i in range(3)] for k in range(5)},
+    }
+    got = pages(spark, docs)
+    for d in docs:
+        for i, text in enumerate(docs[d]):
+            assert ("header" in got[d, i].kinds) == (not d.startswith("chance")), (d, i)
+            if not d.startswith("chance"):
+                assert got[d, i].text == next(x for x in text.split("\n") if "Paragraph" in x)
+
+
+def test_vocabulary_decides_about_hyphens():
+    lex = scan_repair.Lexicon({"revenue": 90, "long": 90, "term": 90, "plan": 90, "well": 90, "known": 90, "risk-adjusted": 9, "riskadjusted": 1, "online": 50, "on-line": 9, "firm": 90, "on": 90, "line": 90}, {}, 100)
+    fixed = lambda t: scan_repair.repair(t, set(), set(), lex)
+    for text, want in (
+        ("the long-\nterm plan", "the long-term plan"), ("a well-\nknown firm", "a well-known firm"), ("a risk-\nadjusted plan", "a risk-adjusted plan"), ("higher reve-\nnue", "higher revenue"),
+        ("an on-\nline plan", "an online plan"), ("Na- \nsaga", "Nasaga"), ("유지되-\n었다", "유지되었다"),
+    ):
+        assert fixed(text) == (want, {"linebreak"}), text
+
+
+def test_every_glyph_of_a_run_is_put_back():
+    lex = scan_repair.Lexicon({"revenue": 90, "demand": 90, "quarter": 90, "company": 90, "business": 90}, {}, 100)
+    assert lex.meant("revenuedernandquarterbusinesscornpany") == "revenuedemandquarterbusinesscompany"
+    assert lex.meant("a" + "1" * 40 + "bc") is None
