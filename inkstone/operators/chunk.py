@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from inkstone.runtime import materialize
 
 SIZE, OVERLAP, LEAST = 700, 200, 50
 TABLE_SHARE = 0.5
+_BLOCK = 4096
 #: Words of sections that are left out.
 SKIP = ("compliance", "면책", "투자등급", "산업 투자의견", "조사분석자료", "본 자료는", "보도출처")
 
@@ -22,14 +26,12 @@ def sections(docs: DataFrame) -> DataFrame:
     are left out.  A document that has no section with a heading left is cut at
     blank lines instead.  Null texts give no rows.
     """
-    parts = docs.where("text is not null").select("doc_id", "text", F.posexplode(F.split("text", r"(?md)(?=^#{1,3} .+$)", -1)).alias("at", "part"))
-    title = F.regexp_extract("part", r"^#{1,3} (.+)", 0)
-    cut = parts.select("doc_id", "at", F.regexp_replace(strip(title), r"^#{1,3} ", "").alias("title"), strip(F.regexp_replace("part", r"^#{1,3} .+", "")).alias("body"), (title != "").alias("headed"))
-    kept = cut.where("body <> ''")
-    headed = kept.withColumn("any", F.bool_or("headed").over(Window.partitionBy("doc_id")))
-    by_heading = headed.where("any").select("doc_id", "at", "title", "body")
-    bare = docs.where("text is not null").join(by_heading.select("doc_id").distinct(), "doc_id", "left_anti")
-    return by_heading.unionByName(paragraphs(bare).select("doc_id", F.col("para_no").alias("at"), F.lit("").alias("title"), F.col("text").alias("body"))).withColumn("section_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).drop("at")
+    title = lambda x: F.regexp_extract(x, r"^#{1,3} (.+)", 0)
+    part = lambda x: F.struct(F.regexp_replace(strip(title(x)), r"^#{1,3} ", "").alias("title"), strip(F.regexp_replace(x, r"^#{1,3} .+", "")).alias("body"), (title(x) != "").alias("headed"))
+    cut = docs.where("text is not null").select("doc_id", "text", F.filter(F.transform(F.split("text", r"(?md)(?=^#{1,3} .+$)", -1), part), lambda p: p["body"] != "").alias("parts"))
+    bare = F.transform(F.filter(F.transform(F.split("text", "\n\n", -1), strip), lambda x: x != ""), lambda x: F.struct(F.lit("").alias("title"), x.alias("body"), F.lit(False).alias("headed")))
+    # all of a document's sections stand in its row, so they are numbered there
+    return cut.select("doc_id", F.posexplode(F.when(F.exists("parts", lambda p: p["headed"]), F.col("parts")).otherwise(bare)).alias("section_no", "p")).select("doc_id", "section_no", "p.title", "p.body")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -62,21 +64,57 @@ def table_key(text: Column) -> Column:
     return F.substring(F.regexp_replace(F.coalesce(F.try_element_at(splitlines(strip(text)), F.lit(1)), F.lit("")), r"[|\t-\r\x1c-\x20\x85\p{Z}]", ""), 1, 60)
 
 
+_ATOM = re.compile(r"(?<=\n)|(?<=[.?!。][ \t\n\x0b\f\r])")
+_BREAK = re.compile(r"[ \t\n\x0b\f\r.](.*)", re.DOTALL)
+
+
+def pieces(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+    """Pieces of at most ``size`` characters, each with the end of the last one in front where that fits, by one walk over lines and sentences."""
+    out: list[str] = []
+    held: list[str] = []  # of the open piece
+    length = 0
+    for atom in (a[i:i + size] for a in _ATOM.split(text) for i in range(0, len(a), size)):
+        if held and length + len(atom) > size or len(atom) > size:
+            done = "".join(held)
+            out.append(done)
+            rest = _BREAK.search(done[-overlap:]) if overlap and len(atom) + overlap <= size else None
+            held, length = ([rest[1]], len(rest[1])) if rest else ([], 0)
+        held.append(atom)
+        length += len(atom)
+    out.append("".join(held))
+    return [x for x in map(str.strip, out) if x]
+
+
 def split_recursive(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Pieces of at most ``size`` characters, cut at the last blank line, line end, sentence end or space that fits.
 
-    Pieces begin at most ``overlap`` before the last one's end.  One expression: a
-    fold over the lines and sentences of the text.
+    Pieces begin at most ``overlap`` before the last one's end.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pieces(t, size, overlap), na_action="ignore")
+
+    return cut(text)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with number: from 0 in each document in the given order, whose first column is a whole number.
+
+    A number is a place in a block of ``_BLOCK`` values of that column plus the
+    sizes of earlier blocks, so no task holds a whole document.
     """
-    atoms = F.filter(F.flatten(F.transform(F.split(text, r"(?<=\n)|(?<=[.?!。]\s)", -1), lambda a: F.when(F.length(a) <= size, F.array(a)).otherwise(F.transform(F.sequence(F.lit(0), F.length(a) - 1, F.lit(size)), lambda i: F.substring(a, i + 1, F.lit(size)))))), lambda a: a != "")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    blocked = rows.withColumn("_block", F.floor(F.col(order[0]) / _BLOCK))
+    sizes = blocked.groupBy("doc_id", "_block").agg(F.count("*").alias("_n"))
+    before = sizes.select("doc_id", "_block", (F.sum("_n").over(Window.partitionBy("doc_id").orderBy("_block")) - F.col("_n")).alias("_before"))
+    placed = blocked.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id", "_block").orderBy(*order)) - 1)
+    return placed.join(before, ["doc_id", "_block"]).withColumn("number", (F.col("_at") + F.col("_before")).cast("int")).drop("_block", "_at", "_before")
 
-    def add(state: Column, atom: Column) -> Column:
-        fits = F.length(state["open"]) + F.length(atom) <= size
-        tail = F.when(F.length(atom) + overlap <= size, F.regexp_extract(F.right(state["open"], F.lit(overlap)), r"(?s)[\s.](.*)$", 1)).otherwise("")
-        return F.struct(F.when(fits, state["done"]).otherwise(F.array_append(state["done"], state["open"])).alias("done"), F.when(fits, F.concat(state["open"], atom)).otherwise(F.concat(tail, atom)).alias("open"))
 
-    return F.aggregate(atoms, empty, add, lambda s: F.filter(F.transform(F.array_append(s["done"], s["open"]), strip), lambda x: x != ""))
+def first_tables(tables: DataFrame, order: str) -> DataFrame:
+    """Of the ``tables`` of a document with one ``key`` the first by ``order``; combined before any shuffle."""
+    rest = [c for c in tables.columns if c not in ("doc_id", "key", order)]
+    return tables.groupBy("doc_id", "key").agg(F.min(F.struct(order, *rest)).alias("_t")).select("doc_id", "key", "_t.*")
 
 
 def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
@@ -89,14 +127,14 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int
     sec = sections(docs).where(~is_skipped(F.col("title"), F.col("body")))
     sec = sec.withColumn("full", strip(F.concat_ws("\n\n", F.nullif("title", F.lit("")), "body"))).withColumn("table", is_table(F.col("body")))
     sec = materialize(sec, "chunk-sections")  # read for tables and for text
-    tables = sec.where("table").withColumn("key", table_key(F.col("full"))).withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("section_no"))).where("rn = 1")
+    tables = first_tables(sec.where("table").select("doc_id", "section_no", table_key(F.col("full")).alias("key"), "title", "full"), "section_no")
     whole = tables.select("doc_id", "section_no", F.lit(0).alias("sub_no"), "title", F.col("full").alias("text"), F.lit("table").alias("chunk_type"))
-    rest = sec.where("not table").withColumn("parts", F.when(F.length("full") <= size, F.array("full")).otherwise(split_recursive(F.col("full"), size, overlap)))
+    plain = sec.where("not table")
+    rest = plain.where(F.length("full") <= size).withColumn("parts", F.array("full")).unionByName(plain.where(F.length("full") > size).withColumn("parts", split_recursive(F.col("full"), size, overlap)))
     cut = rest.select("doc_id", "section_no", F.posexplode("parts").alias("sub_no", "text"), "title").select("doc_id", "section_no", "sub_no", "title", "text", F.lit("text").alias("chunk_type"))
     kept = whole.unionByName(cut).where(F.length(strip(F.col("text"))) >= least)
-    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "sub_no")) - 1).cast("int")
-    return kept.select(
-        "doc_id", F.col("title").alias("section"), F.lit(None).cast("int").alias("page"), number.alias("chunk_index"), "text", "chunk_type",
+    return numbered(kept, "section_no", "sub_no").select(
+        "doc_id", F.col("title").alias("section"), F.lit(None).cast("int").alias("page"), F.col("number").alias("chunk_index"), "text", "chunk_type",
         doc_year(F.col("title"), F.col("text")).alias("doc_year"), section_type(F.col("title"), F.col("text")).alias("section_type"), metrics(F.col("text")).alias("metrics"),
     )
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import tokens
+from inkstone.functions.text import bound
+
+_TERM = re.compile("[가-힣a-zA-Z0-9]+")
 
 #: Patterns of dates, of a number's units, and words that are no entities.
 DATE = r"\d{4}\.\d{1,2}(?:\.\d{1,2})?|\d{4}년\s*\d{1,2}월|\d{2}/\d{2}"
@@ -65,37 +72,42 @@ def _f1(overlap: Column, a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0) & (overlap > 0), F.round(2 * p * r / (p + r), 4)).otherwise(0.0)
 
 
-def _grams(words: Column, n: int) -> Column:
-    if n == 1:
-        return words
-    last = F.size(words) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _overlaps(count: Callable[[list[str], list[str]], tuple[int, int, int]], prediction: Column, reference: Column) -> Column:
+    """F-measure of a count of (in common, of the prediction, of the reference) over the terms of both."""
+
+    @F.pandas_udf("both int, a int, b int")
+    def counted(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = [count(_TERM.findall(p or ""), _TERM.findall(r or "")) for p, r in zip(x, y, strict=True)]
+        return pd.DataFrame(rows, columns=["both", "a", "b"]).astype("int32")
+
+    return F.coalesce(bound(counted(prediction, reference), lambda c: _f1(c["both"], c["a"], c["b"])), F.lit(0.0))
 
 
 def rouge_n(prediction: Column, reference: Column, n: int) -> Column:
     """F-measure of the n-grams in common, counted as often as both have them."""
-    a, b = _grams(tokens(prediction), n), _grams(tokens(reference), n)
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    both = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
-    return F.coalesce(_f1(both, F.size(a), F.size(b)), F.lit(0.0))
 
+    def count(p: list[str], r: list[str]) -> tuple[int, int, int]:
+        a, b = (Counter(zip(*(x[k:] for k in range(n)))) for x in (p, r))
+        return sum((a & b).values()), sum(a.values()), sum(b.values())
+
+    return _overlaps(count, prediction, reference)
 
-def rouge_l(prediction: Column, reference: Column) -> Column:
-    """F-measure of the longest common subsequence of terms, by a fold that carries one row of the table."""
-    a, b = tokens(prediction), tokens(reference)
-    zero = F.transform(b, lambda _: F.lit(0))
 
-    def row(prev: Column, word: Column) -> Column:
-        def cell(state: Column, j: Column) -> Column:
-            up = F.element_at(prev, j)
-            diagonal = F.when(j > 1, F.try_element_at(prev, F.greatest(j - 1, F.lit(1)))).otherwise(0)
-            left = F.coalesce(F.try_element_at(state, F.lit(-1)), F.lit(0))
-            return F.array_append(state, F.when(F.element_at(b, j) == word, diagonal + 1).otherwise(F.greatest(up, left)))
+def common_length(p: list[str], r: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the table being the bits of one number."""
+    places: dict[str, int] = {}
+    for i, t in enumerate(p):
+        places[t] = places.get(t, 0) | 1 << i
+    row, every = (1 << len(p)) - 1, (1 << len(p)) - 1
+    for t in r:
+        hit = row & places.get(t, 0)
+        row = (row + hit | row - hit) & every
+    return len(p) - row.bit_count()
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array().cast("array<int>"), cell)
 
-    length = F.when((F.size(a) > 0) & (F.size(b) > 0), F.coalesce(F.try_element_at(F.aggregate(a, zero, row), F.lit(-1)), F.lit(0))).otherwise(0)
-    return F.coalesce(_f1(length, F.size(a), F.size(b)), F.lit(0.0))
+def rouge_l(prediction: Column, reference: Column) -> Column:
+    """F-measure of the longest common subsequence of terms."""
+    return _overlaps(lambda p, r: (common_length(p, r), len(p), len(r)), prediction, reference)
 
 
 def dot(a: Column, b: Column) -> Column:

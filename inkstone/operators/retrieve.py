@@ -6,6 +6,8 @@ are joined on (scope, term), never every query with every document.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +23,10 @@ TOP_SECTIONS, TOP_CHUNKS, TOP_RERANKED = 3, 5, 3
 LEAST_SCORE, RRF_K = 0.1, 60
 #: Query vectors that go to the executors at a time.
 BLOCK = 2_000
+#: Parts into which the items of a scope are split.
+SALT = 8
+#: What an encoder is told before a passage and a question, and how many texts it gets at a time.
+PASSAGE, QUESTION, ENCODE_BATCH = "passage: ", "query: ", 32
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -34,8 +40,8 @@ def statistics(posts: DataFrame) -> DataFrame:
     items = posts.select("scope", "item", "len").distinct().groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = posts.groupBy("scope", "term").agg(F.count("*").alias("df")).join(items, "scope")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.withColumn("mean", F.avg("raw").over(Window.partitionBy("scope")))
-    return mean.select("scope", "term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avg_len")
+    mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))  # one row a scope, so a scope of many terms is split
+    return raw.join(mean, "scope").select("scope", "term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avg_len")
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = TOP_CHUNKS, least: float = LEAST_SCORE) -> DataFrame:
@@ -120,6 +126,21 @@ def dense(index: DataFrame, queries: DataFrame, k: int = TOP_CHUNKS, must: tuple
     return top(out, k)
 
 
+def dense_within(index: DataFrame, queries: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
+    """(query, scope, item, score, rank) by cosine within the query's scope, as ``dense`` but joined on it.
+
+    ``index`` has scope, item, vector; ``queries`` query, scope, vector.  Items of
+    a scope go to a task in the blocks of one hash, each with all queries of the
+    scope, and leave k rows per query and block.
+    """
+    salted = index.where("vector is not null").select("scope", "item", "vector", F.pmod(F.xxhash64("item"), F.lit(SALT)).alias("_salt"))
+    asked = queries.where("vector is not null").select("query", "scope", F.col("vector").alias("_q")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    norm = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    both = F.aggregate(F.zip_with("vector", "_q", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    scored = salted.join(asked, ["scope", "_salt"]).select("query", "scope", "item", (both / F.nullif(F.sqrt(norm(F.col("vector")) * norm(F.col("_q"))), F.lit(0.0))).alias("score"))
+    return top(scored.where("score is not null"), k)
+
+
 def rrf(*lists: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
     """(query, text, score, rank): fusion of ranked lists of (query, text, rank) by sums of 1 / (60 + rank).
 
@@ -130,9 +151,69 @@ def rrf(*lists: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
     for i, x in enumerate(lists):
         part = x.select("query", "text", "rank", F.lit(i).alias("_list"))
         every = part if every is None else every.unionByName(part)
-    fused = every.groupBy("query", "text").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("_list", "rank")).alias("_first"))
+    return fused(every, k)
+
+
+def fused(every: DataFrame, k: int = TOP_CHUNKS) -> DataFrame:
+    """``rrf`` of lists that stand in one table of (query, text, rank, _list)."""
+    sums = every.groupBy("query", "text").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("_list", "rank")).alias("_first"))
     best = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "_first")
-    return fused.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("_first")
+    return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("_first")
+
+
+def hybrid(sparse: DataFrame, dense_hits: DataFrame | None, k: int = TOP_CHUNKS) -> DataFrame:
+    """(query, text, score, rank): sparse hits, fused with the dense ones of the queries that have any.
+
+    Both have query, text, score and rank.  A query without dense hits keeps its
+    sparse ones as they are, and so do all without a dense side; a query without
+    sparse hits has the dense ones alone, fused with nothing.
+    """
+    if dense_hits is None:
+        return sparse.where(F.col("rank") <= k).select("query", "text", "score", "rank")
+    asked = dense_hits.select("query").distinct()
+    alone = sparse.join(asked, "query", "left_anti").where(F.col("rank") <= k).select("query", "text", "score", "rank")
+    return rrf(sparse.join(asked, "query", "left_semi"), dense_hits, k=k).select("query", "text", "score", "rank").unionByName(alone)
+
+
+def encoded(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], prefix: str = PASSAGE, batch: int = ENCODE_BATCH) -> DataFrame:
+    """``rows`` with the column vector: the normalised vectors that an encoder gives for their texts, each with the prefix in front.
+
+    The encoder gets lists of at most ``batch`` texts and gives one row of numbers
+    for each.  Null and blank texts, and texts whose batch fails, have no vector;
+    a zero vector stays zero.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+    schema = StructType([*(f for f in rows.schema.fields if f.name != "vector"), StructField("vector", ArrayType(FloatType()))])
+    target = to_arrow_schema(schema)
+    at = schema.names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            texts = part.column(at).to_pylist()
+            full = [i for i, t in enumerate(texts) if t and not t.isspace()]
+            out: list[list[float] | None] = [None] * len(texts)
+            for k in range(0, len(full), batch):
+                try:
+                    v = np.asarray(encode([prefix + texts[i] for i in full[k:k + batch]]), np.float64)
+                except Exception:  # noqa: BLE001 - a failed call leaves its rows without a vector
+                    continue
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                for i, x in zip(full[k:k + batch], v.tolist(), strict=True):
+                    out[i] = x
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.float32()))], names=schema.names).cast(target)
+
+    return rows.select(*(n for n in schema.names if n != "vector")).mapInArrow(run, schema)
+
+
+def hashed_terms(texts: list[str], dim: int = 256) -> np.ndarray:
+    """Default encoder, where no model is: counts of terms by hash."""
+    out = np.zeros((len(texts), dim))
+    for i, text in enumerate(texts):
+        for t in re.findall("[가-힣a-zA-Z0-9]+", text):
+            out[i, zlib.crc32(t.encode()) % dim] += 1
+    return out
 
 
 def lexical_score(question: Column, text: Column) -> Column:

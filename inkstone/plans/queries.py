@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import is_blank, strip
 from inkstone.operators import answer, chart, chunk, clean, enrich, evaluate, metrics, retrieve, units
 from inkstone.plans import fixtures
-from inkstone.runtime import materialize, table
+from inkstone.runtime import fit_parallelism, materialize, table
 from inkstone.sources import files
 from inkstone.streaming import events as streams
 
@@ -29,7 +29,7 @@ def query(f: Query) -> Query:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fit_parallelism(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,15 +250,15 @@ def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def table_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the tables of a document with one key the first."""
-    tables = _chunks(spark, sf_dir).where("text is not null").where(chunk.is_table(F.col("text"))).withColumn("key", chunk.table_key(F.col("text")))
-    return tables.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("chunk_index"))).where("rn = 1").select("doc_id", "chunk_index", "key")
+    rows = _chunks(spark, sf_dir).where("text is not null").where(chunk.is_table(F.col("text")))
+    return chunk.first_tables(rows.select("doc_id", "chunk_index", chunk.table_key(F.col("text")).alias("key")), "chunk_index").select("doc_id", "chunk_index", "key")
 
 
 @query
 def numbered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of at least the least size, numbered anew."""
     kept = _chunks(spark, sf_dir).where(F.length(strip(F.col("text"))) >= chunk.LEAST)
-    return kept.select("doc_id", F.col("chunk_index").alias("source_index"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")) - 1).cast("int").alias("chunk_index"))
+    return chunk.numbered(kept.select("doc_id", "chunk_index"), "chunk_index").select("doc_id", F.col("chunk_index").alias("source_index"), F.col("number").alias("chunk_index"))
 
 
 @query
@@ -324,10 +324,25 @@ def bm25_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of what first bullet and chart title find."""
-    fused = retrieve.rrf(_hits(spark, sf_dir, _BULLET), _hits(spark, sf_dir, _TITLE))
+    corpus = _corpus(spark, sf_dir)
+    asked = [_asked(spark, sf_dir, text).withColumn("query", F.struct("query", F.lit(i).alias("_list"))) for i, text in enumerate((_BULLET, _TITLE))]
+    hits = retrieve.bm25(corpus, asked[0].unionByName(asked[1])).join(corpus, ["scope", "item"])  # both lists from one set of postings
+    fused = retrieve.fused(hits.select(F.col("query.query").alias("query"), "text", "rank", F.col("query._list").alias("_list")))
     return fused.select("query.doc_id", "query.section_no", "text", F.round("score", 9).alias("score"), "rank")
 
 
+@query
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks found for the first bullet of every section whose number is divisible by 100, by terms and, in PDF files, by vectors too; of others the sparse hits stay."""
+    corpus = materialize(_corpus(spark, sf_dir), "hybrid-corpus")
+    asked = _asked(spark, sf_dir, _BULLET).where("query.section_no % 100 = 0")
+    sparse = retrieve.bm25(corpus, asked).join(corpus, ["scope", "item"])
+    pdf = F.lower("scope").rlike(r"\.pdf$")
+    index = retrieve.encoded(corpus.where(pdf), retrieve.hashed_terms)
+    found = retrieve.dense_within(index, retrieve.encoded(asked.where(pdf), retrieve.hashed_terms, retrieve.QUESTION))
+    return retrieve.hybrid(sparse, found.join(corpus, ["scope", "item"])).select("query.doc_id", "query.section_no", "text", F.round("score", 9).alias("score"), "rank")
+
+
 @query
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best by terms in common with the first bullet."""

@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import is_blank, strip, tokens
+from inkstone.operators.clean import PICTURE
 
 FORMATS = ("pdf", "docx", "doc", "hwp", "hwpx")
 IMAGE_BASED = 500
 OMITTED = "intentionally omitted"
-PICTURE = r"\*\*==>?\s*picture\s*\[\d+\s*x\s*\d+\]\s*intentionally omitted\s*<==\*\*\n?"
 PagesOf = Callable[[bytes], list[str]]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 

@@ -54,3 +54,12 @@ def test_semantic_groups(spark):
     rows = [(1, 0, i, f"s{i}", [1.0, 0.0] if i < 3 else [0.0, 1.0]) for i in range(6)] + [(2, 0, 0, "x", [1.0, 0.0]), (2, 0, 1, "y", [0.0, 1.0])]
     got = chunk.semantic_groups(spark.createDataFrame(rows, "doc_id long, section_no int, sent_no int, text string, vector array<double>")).orderBy("group_no").collect()
     assert [r.text for r in got] == ["s0 s1 s2", "s3 s4 s5"]
+
+
+def test_numbers_of_a_large_document_come_from_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chunk, "_BLOCK", 10)
+    rows = [("hot", i * 3, i % 2) for i in range(200)] + [("hot", 6, 5), ("small", 7, 0), ("small", 2, 0)]
+    got = chunk.numbered(spark.createDataFrame(rows, "doc_id string, section_no int, sub_no int"), "section_no", "sub_no").collect()
+    for d in ("hot", "small"):
+        mine = sorted((r.section_no, r.sub_no, r.number) for r in got if r.doc_id == d)
+        assert [x[2] for x in mine] == list(range(len(mine)))

@@ -75,3 +75,36 @@ def test_index_by_collection(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "x"))
     assert sorted((r.doc_id, r.item) for r in got.collect()) == [("a", 7), ("b", 2)]
     assert retrieve.has_collection(got, "a") and not retrieve.has_collection(got, "c")
+
+
+def test_hybrid_keeps_sparse_hits_where_there_are_no_dense_ones(spark):
+    sparse = spark.createDataFrame([("q1", "a", 2.0, 1), ("q1", "b", 1.0, 2), ("q2", "c", 3.0, 1)], "query string, text string, score double, rank int")
+    dense = spark.createDataFrame([("q1", "b", 0.9, 1), ("q3", "d", 0.5, 1)], "query string, text string, score double, rank int")
+    got = {(r.query, r.rank): (r.text, round(r.score, 6)) for r in retrieve.hybrid(sparse, dense).collect()}
+    assert got == {("q1", 1): ("b", round(1 / 61 + 1 / 62, 6)), ("q1", 2): ("a", round(1 / 61, 6)), ("q2", 1): ("c", 3.0), ("q3", 1): ("d", round(1 / 61, 6))}
+    assert retrieve.hybrid(sparse, None).count() == 3
+
+
+def test_encoder_gets_prefixed_batches(spark):
+    def encode(texts):
+        assert len(texts) <= 32 and all(t.startswith("passage: ") for t in texts)
+        if any("fail" in t for t in texts):
+            raise RuntimeError
+        return [[3.0, 4.0 if "x" in t else 0.0] for t in texts]
+
+    rows = [(i, "x") for i in range(70)] + [(100, None), (101, " ")]
+    got = {r.item: r.vector for r in retrieve.encoded(spark.createDataFrame(rows, "item int, text string").coalesce(1), encode).collect()}
+    assert all([round(v, 5) for v in got[i]] == [0.6, 0.8] for i in range(70)) and got[100] is None and got[101] is None
+    assert retrieve.encoded(spark.createDataFrame([(1, "fail")], "item int, text string"), encode).first().vector is None
+
+
+def test_dense_search_within_scopes_is_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i % 3}", i, rng.normal(size=4).tolist()) for i in range(90)] + [("s0", 900, None), ("s1", 901, [0.0] * 4)]
+    index = spark.createDataFrame(rows, "scope string, item int, vector array<double>")
+    queries = index.where("item % 10 = 0").select(F.col("item").alias("query"), "scope", "vector")
+    got = {(r.query, r["rank"]): r.item for r in retrieve.dense_within(index, queries, 3).collect()}
+    unit = {i: (s, np.array(v) / np.linalg.norm(v)) for s, i, v in rows[:90]}
+    for q in range(0, 90, 10):
+        best = sorted((i for i in unit if unit[i][0] == unit[q][0]), key=lambda i: -float(unit[i][1] @ unit[q][1]))[:3]
+        assert [got[q, r] for r in (1, 2, 3)] == best
