@@ -19,11 +19,13 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import product
+from itertools import chain, product
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +61,13 @@ LOOKALIKES = (("j", "i"), ("f", "t"), ("I", "l"), ("e", "c"), ("c", "e"), ("rn",
 _VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 
 
-_PAGE_ENDS = frozenset("-–—―])>〉》}|·•쪽지면이－）］＞｝｜")
+_PAGE_ENDS = frozenset("-–—―])>〉》}|·•쪽지면이－）］＞｝｜" + "".join(c for c in map(chr, range(0x10000)) if c.isdigit()))
 
 
 def is_page_number(line: str) -> bool:
     """Whether a line holds nothing but a page number."""
     flat = line.strip()
-    if not flat or not (flat[-1] in _PAGE_ENDS or flat[-1].isdigit()):
+    if not flat or flat[-1] not in _PAGE_ENDS:
         return False
     return PAGE_LINE.fullmatch(flat if flat.isascii() else unicodedata.normalize("NFKC", flat).strip()) is not None
 
@@ -444,19 +446,21 @@ def _forms(raw: list[str], keys: list[str]) -> Iterator[tuple[int, str, int]]:
     Page edges are the first two and the last two lines of a text that are not
     blank or a page number, and the lines next to a page number.
     """
-    full = [i for i, x in enumerate(raw) if x and not x.isspace()]
-    pages = {i for i in full if is_page_number(raw[i])}
-    kept = [i for i in full if i not in pages]
+    flat = [x.strip() for x in raw]
+    full = [i for i, x in enumerate(flat) if x]
+    pages = {i for i in full if flat[i][-1] in _PAGE_ENDS and is_page_number(flat[i])}
+    kept = [i for i in full if i not in pages] if pages else full
     edges = {*kept[:2], *kept[-2:]}
     for k, i in enumerate(full):
         if i in pages:
             edges.update(full[max(0, k - 1):k + 2])
     for i in kept:
-        line = raw[i]
-        off = any(c in line for c in "|—―·") and _SET_OFF.search(line) is not None
-        plain = i in edges and _DIGITS.search(line) is None
-        if (off or plain) and len(keys[i]) >= MIN_LETTERS and _NO_HEADER.search(line.strip()) is None:
-            yield i, keys[i], plain + 2 * off
+        line = flat[i]
+        off = ("|" in line or "—" in line or "·" in line or "―" in line) and _SET_OFF.search(line) is not None
+        if (off or i in edges) and len(keys[i]) >= MIN_LETTERS and _NO_HEADER.search(line) is None:
+            plain = i in edges and _DIGITS.search(line) is None
+            if off or plain:
+                yield i, keys[i], plain + 2 * off
 
 
 class _Keys(dict):
@@ -486,35 +490,78 @@ def line_keys(text: str) -> list[str]:
     return [k if not k or k.isalpha() else k.translate(_KEYS) for k in rest.split("\n")]
 
 
-class _Shapes(dict):
-    """From what stands between spaces, as bytes with digits as 9, to its tokens; remembers what it has seen."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which for these many near-sorted numbers beats a hash table."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
-    def __missing__(self, word: bytes) -> tuple[str, ...]:
-        text = word.decode("utf-8", "surrogatepass")
-        out = tuple(w for w in _TOKEN.findall(text) if len(w) < 40)  # what is longer is no word
-        if b"-" in word:
-            out += tuple(w for w in _COMPOUND.findall(text) if len(w) < 40)
-        if len(self) < _MEMORY and len(word) < 120:
-            self[word] = out
+
+class _Vocabulary:
+    """Numbers of texts by token.
+
+    Words between spaces, digits as 9, are cut out, made numbers and counted once
+    a text for a whole batch at a time; Python looks only at each kind of word,
+    for its tokens, and remembers those.
+    """
+
+    def __init__(self) -> None:
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.tokens: dict[str, int] = {}
+        self.counts = np.zeros(1024, np.int64)
+
+    def _of(self, word: str) -> tuple[int, ...]:
+        found = [w for w in _TOKEN.findall(word) if len(w) < 40]  # what is longer is no word
+        if "-" in word:
+            found += [w for w in _COMPOUND.findall(word) if len(w) < 40]
+        out = tuple({self.tokens.setdefault(w, len(self.tokens)) for w in found})
+        if len(self.words) < _MEMORY and len(word) < 120:
+            self.words[word] = out
         return out
 
+    def add(self, texts: list[str]) -> None:
+        if not texts:
+            return
+        given = pa.array(texts, pa.large_string())
+        _, offsets, data = given.buffers()
+        masked = pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_MASK)))
+        parts = pc.ascii_split_whitespace(masked)
+        coded = parts.flatten().dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        of = [self.words.get(w) for w in kinds]
+        of = [self._of(w) if x is None else x for w, x in zip(kinds, of, strict=True)]
+        number = np.fromiter(map(len, of), np.int64, len(of))
+        flat = np.fromiter(chain.from_iterable(of), np.int64, int(number.sum()))
+        first = np.cumsum(number) - number
+        text, word = np.divmod(_distinct(pc.list_parent_indices(parts).to_numpy() * len(kinds) + coded.indices.to_numpy()), len(kinds)) if kinds else (np.zeros(0, np.int64),) * 2
+        n = number[word]
+        token = flat[np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        size = max(1, len(self.tokens))
+        once = _distinct(np.repeat(text, n) * size + token) % size
+        if size > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(size, np.int64)])
+        self.counts += np.bincount(once, minlength=len(self.counts))
+
+    def take(self) -> tuple[list[str], np.ndarray]:
+        """The tokens counted so far and their numbers; counting begins anew."""
+        names, counts = list(self.tokens), self.counts[:len(self.tokens)]
+        self.__init__()
+        return names, counts
+
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over all texts: the hashes of their lines' keys, and counts of words of the texts proper."""
-    counts: Counter[str] = Counter()
-    shapes = _Shapes()
+    counts, texts = _Vocabulary(), 0
     schema = pa.schema([("issuer", pa.string()), ("doc_id", pa.string()), ("chunk_index", pa.int32()), ("page", pa.bool_()), ("hashes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("keys", pa.list_(pa.string())), ("form", pa.list_(pa.int32())), ("word", pa.string()), ("n", pa.int64())])
 
     def words() -> pa.RecordBatch:
-        n = len(counts)
-        batch = pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(schema)[:8]), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
-        counts.clear()
-        return batch
+        names, numbers = counts.take()
+        n = len(names)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in list(schema)[:8]), pa.array(names, pa.string()), pa.array(numbers)], schema=schema)
 
     for batch in batches:
         hashes: list[list[int | None]] = []
         heads: tuple[list, list, list] = ([], [], [])
-        for page, text, proper in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+        for page, text in zip(*(batch.column(i).to_pylist() for i in (3, 4)), strict=True):
             for x in heads:
                 x.append([])
             if text is None:
@@ -526,15 +573,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for found in _forms(text.split("\n"), keys):
                     for x, value in zip(heads, found, strict=True):
                         x[-1].append(value)
-            if proper:
-                masked = text.encode("utf-8", "surrogatepass").translate(_MASK)
-                counts.update(set().union(*map(shapes.__getitem__, set(masked.split()))))
-                counts[""] += 1
+        given = batch.column(4).filter(pc.and_(batch.column(5), batch.column(4).is_valid())).to_pylist()
+        counts.add(given)
+        texts += len(given)
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hashes, schema.types[4]), *(pa.array(x, t) for x, t in zip(heads, schema.types[5:8], strict=True)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=schema)
-        if len(counts) > 300_000:
+        if len(counts.tokens) > 300_000:
             yield words()
     yield words()
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:8]), pa.array([""]), pa.array([texts], pa.int64())], schema=schema)
 
 
 def _signed(x: int) -> int:
