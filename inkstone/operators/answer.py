@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import bound, contains_any, is_blank, replace_all, strip, tokens
+from inkstone.functions.text import bound, contains_any, is_blank, strip, tokens
 
 Provider = Callable[[Column], Column]
 
@@ -195,7 +195,3 @@ def merge_documents(docs: DataFrame, groups: DataFrame) -> DataFrame:
         F.bool_or("is_image_based").alias("is_image_based"), F.count("*").alias("n_docs"),
     )
     return got.where("ok").drop("ok")
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = (Window, replace_all)
