@@ -63,3 +63,24 @@ def test_reports(spark):
     assert evaluate.markdown(board).startswith("## overall")
     v = spark.createDataFrame([('so {"verdict": "Faithful", "completeness": 4} end',), ("nothing",), (None,)], "t string").select(evaluate.verdict(F.col("t")).alias("v")).collect()
     assert [r.v.verdict for r in v] == ["Faithful", "Error", "Error"]
+
+
+def test_leaderboard_means_do_not_depend_on_order(spark):
+    schema = "is_image_based boolean, chunk_size int, chunk_overlap int, temperature double, type string, doc string, rougeL double, num_accuracy double, faithfulness string, completeness int"
+    scores = [0.1, 0.2, 0.3, 0.4, 0.7, 0.9, 0.000001, 0.4]  # the mean 0.375000125 lies halfway at eight digits
+    boards = set()
+    for order in [scores, scores[::-1], sorted(scores), scores[3:] + scores[:3]]:
+        rows = [(True, 300, 50, 0.0, "factual", "a", s, s, "Faithful", 4) for s in order]
+        r = evaluate.leaderboard(spark.createDataFrame(rows, schema).coalesce(1)).where("dimension = 'overall'").first()
+        boards.add((r.rougeL, r.num_accuracy))
+    assert boards == {(0.375000125, 0.375000125)}
+    odd = [(True, 300, 50, 0.0, "factual", d, s, None, "Faithful", 4) for d, s in (("a", 0.5), ("b", 1e12), ("b", 3e12), ("c", float("inf")))]
+    got = {r.value: (r.rougeL, r.num_accuracy) for r in evaluate.leaderboard(spark.createDataFrame(odd, schema)).where("dimension = 'doc'").collect()}
+    assert got == {"a": (0.5, None), "b": (2e12, None), "c": (float("inf"), None)}
+
+
+def test_leaderboard_without_records(spark):
+    schema = "is_image_based boolean, chunk_size int, chunk_overlap int, temperature double, type string, doc string, rougeL double, num_accuracy double, faithfulness string, completeness int"
+    board = evaluate.leaderboard(spark.createDataFrame([], schema))
+    assert [tuple(r) for r in board.collect()] == [("overall", "", 0, None, None, 0, None)]
+    assert evaluate.markdown(board).endswith("|  | 0 | - | - | - | - |\n")
